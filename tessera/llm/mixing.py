@@ -99,7 +99,8 @@ def mix(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, most: floa
     some, none = placed.filter("size > 0"), placed.filter("size = 0")
     parts = some.select("sid", "start", "size", "doc_id", "source_size", "target", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.col("size") - 1) / BLOCK))).alias("block"))
     first, end = F.greatest(F.lit(0).cast("long"), F.col("block") * BLOCK - F.col("start")), F.least(F.col("size"), (F.col("block") + 1) * BLOCK - F.col("start"))
-    joined = parts.join(times, ["sid", "block"], "left").withColumn("piece", F.struct(first.alias("first"), end.alias("end"), F.coalesce("times", F.lit(0)).cast("int").alias("times")))
+    # The planner takes the few cells for the many slots they stand for and would broadcast them: merge instead.
+    joined = parts.join(times.hint("merge"), ["sid", "block"], "left").withColumn("piece", F.struct(first.alias("first"), end.alias("end"), F.coalesce("times", F.lit(0)).cast("int").alias("times")))
     keys = ["doc_id", "size", "source_size", "target"]
     done = joined.groupBy("sid", "start", *keys).agg(F.sum((F.col("piece.end") - F.col("piece.first")) * F.col("piece.times")).alias("taken"), F.sort_array(F.collect_list("piece")).alias("pieces"))
     empty = none.select(*keys, F.lit(0).cast("long").alias("taken"), F.lit(None).cast(done.schema["pieces"].dataType).alias("pieces"))
