@@ -43,13 +43,15 @@ def paths(nodes: DataFrame) -> DataFrame:
     at = nodes.select("conv", "node").join(known, ["conv", "node"], "left").withColumn("path", F.array("node"))
     at = cut(at, "chat-0")
     most = at.groupBy("conv").count().agg(F.max("count")).first()[0] or 0
+    rooted, open_ = at.filter("up is null"), at.filter("up is not null")
     for k in range(math.ceil(math.log2(most + 1)) + 1):
-        if not at.filter("up is not null").limit(1).count():
+        if open_.isEmpty():
             break
-        above = at.select("conv", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"))
-        at = at.join(above, ["conv", "up"], "left").select("conv", "node", F.col("_up").alias("up"), F.when(F.col("_path").isNull(), F.col("path")).otherwise(F.concat("_path", "path")).alias("path"))
-        at = cut(at, f"chat-{k + 1}")
-    leaves = at.filter("up is null").join(known.select("conv", F.col("up").alias("node")), ["conv", "node"], "left_anti")
+        # Only ways that have not reached a root go on; so a long conversation adds rounds, but not rows of the others.
+        above = rooted.unionByName(open_).select("conv", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"))
+        step = cut(open_.join(above, ["conv", "up"]).select("conv", "node", F.col("_up").alias("up"), F.concat("_path", "path").alias("path")), f"chat-{k + 1}")
+        rooted, open_ = rooted.unionByName(step.filter("up is null")), step.filter("up is not null")
+    leaves = rooted.join(known.select("conv", F.col("up").alias("node")), ["conv", "node"], "left_anti")
     return leaves.select("conv", F.col("node").alias("leaf"), "path")
 
 

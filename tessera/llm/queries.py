@@ -3,13 +3,18 @@
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, mixing, neardup, quality, rules, secrets, shard
+from tessera.llm import chat, decontam, licenses, line_dedup, mixing, neardup, quality, rules, secrets, shard
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), F.concat_ws(",", F.col("removed_lines").cast("array<string>")).alias("removed_lines"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = secrets.scan(_table(spark, sf_dir, "documents"))
     line = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))))
@@ -22,6 +27,14 @@ def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), n=4)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     return shard.shard(_table(spark, sf_dir, "documents"), 24).select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -53,5 +66,42 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("conv").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_minhash_neardup, op6_sharding, op7_mixing, op8_quality_rules, op9_quality_classifier, op10_chat_format)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op3_minhash_neardup, op4_license_scan, op5_decontamination, op6_sharding, op7_mixing, op8_quality_rules, op9_quality_classifier, op10_chat_format)}
+_WORDS = r"[^\x20\x09-\x0D]+"
+
+SQL: dict[str, str] = {
+    "op1_line_dedup": rf"""
+WITH line AS (
+  SELECT doc_id, generate_subscripts(l, 1) - 1 AS no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
+), sets AS (
+  SELECT doc_id, no, list_sort(list_distinct(regexp_extract_all(line, '{_WORDS}'))) AS w FROM line
+), one AS (
+  SELECT w, len(w) AS n, min(doc_id * 1000000 + no) AS p0, row_number() OVER () AS id FROM sets WHERE len(w) > 0 GROUP BY w
+), token AS (
+  SELECT id, n, p0, unnest(w) AS t FROM one WHERE n >= 4
+), ranked AS (
+  SELECT id, n, p0, t, row_number() OVER (PARTITION BY id ORDER BY df, t) AS i FROM token JOIN (SELECT t, count(*) AS df FROM token GROUP BY t) USING (t)
+), prefix AS (
+  SELECT * FROM ranked WHERE i <= n - (4 * n + 4) // 5 + 1
+), pair AS (
+  SELECT DISTINCT a.id AS a, b.id AS b FROM prefix a JOIN prefix b ON a.t = b.t AND a.p0 < b.p0 AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n
+), gone AS (
+  SELECT DISTINCT b AS id FROM pair JOIN one x ON x.id = a JOIN one y ON y.id = b
+  WHERE 100 * len(list_intersect(x.w, y.w)) >= 80 * (x.n + y.n - len(list_intersect(x.w, y.w)))
+), removed AS (
+  SELECT doc_id, no FROM sets JOIN one USING (w) WHERE doc_id * 1000000 + no <> p0 OR id IN (SELECT id FROM gone)
+)
+SELECT d.doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(k, 0) AS BIGINT) AS n_removed, coalesce(nos, '') AS removed_lines
+FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS k, string_agg(no, ',' ORDER BY no) AS nos FROM removed GROUP BY doc_id) r ON r.doc_id = d.doc_id""",
+    "op10_chat_format": r"""
+WITH rows AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+), escaped AS (
+  SELECT *, regexp_replace(replace(text, '\', '\\'), '(<)(\|(?:im_start|im_end|endoftext|system|user|assistant)\|>|s>|/s>|<SYS>>|</SYS>>)|(\[)(/?INST\])', '\1\3\\\2\4', 'g') AS e FROM rows
+)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(role) + length(e) + length('<|im_start|>') + length('<|im_end|>') + 2) AS BIGINT) AS formatted_chars
+FROM escaped GROUP BY conv_id""",
+}
