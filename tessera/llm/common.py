@@ -41,6 +41,22 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 == 1, F.lit(False))
 
 
+def constant_array(values) -> F.Column:
+    """An array of longs; the optimizer folds it to one literal."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def passing(wanted: DataFrame, key: str, words: int = 1 << 14) -> F.Column:
+    """A test of a long column `key` that all keys of wanted pass, and few others while they are fewer than 60 * words.
+
+    The bit map has a fixed size whatever the input: the driver gets `words` longs at most.
+    """
+    word = F.pmod(key, F.lit(words)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(key, 20), F.lit(63)).cast("int"))
+    found = {r.w: r.m for r in wanted.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("m")).collect()}
+    return F.get(constant_array([found.get(w, 0) for w in range(words)]), word).bitwiseAND(bit) != 0
+
+
 # Exact draws on the driver -------------------------------------------------------------------------------------------
 
 

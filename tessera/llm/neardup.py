@@ -19,6 +19,11 @@ TREES, DEPTH, LEAST, NEAR = 16, 8, 4, 3
 AGREE = 98
 
 
+def fingerprint(u: np.ndarray) -> bytes:
+    """16 bytes that name a shingle set."""
+    return np.array([u.sum(), mix64(u + np.uint64(len(u))).sum()], np.uint64).tobytes()
+
+
 def signatures(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, n_shingles, fp, sig): fp names the shingle set (16 bytes, null if empty), sig holds its MinHash labels."""
     small_batches(docs.sparkSession)
@@ -40,7 +45,7 @@ def signatures(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame
                     fps.append(None)
                     sigs.append(None)
                     continue
-                fps.append(np.array([u.sum(), mix64(u + np.uint64(len(u))).sum()], np.uint64).tobytes())
+                fps.append(fingerprint(u))
                 low = (u >> np.uint64(32)).astype(np.uint32)
                 least = np.full(k, 0xFFFFFFFF, np.uint32)
                 for at in range(0, len(low), 2048):
@@ -143,16 +148,30 @@ def forest_candidates(nodes: DataFrame) -> DataFrame:
     return found.filter("key is null").unionByName(across).groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, n: int, percent: int, text_col: str) -> DataFrame:
-    """Those (a, b) of pairs whose full shingle sets have 100 * intersection >= percent * union."""
+def shingle_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(fp, members): the sorted full shingle sets of wanted (fp, least): the documents with these least ids.
+
+    docs: (doc_id, text).  A bit map of fixed size keeps most other texts out of the shuffle.
+    """
     small_batches(docs.sparkSession)
 
     def sets(batches):
         import pyarrow as pa
 
         for batch in batches:
-            data, offsets = column_bytes(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(h, n).tobytes() for h, _, _ in hashed_words(data, offsets)], pa.binary())], ["fp", "members"])
+            data, offsets = column_bytes(batch.column(0))
+            all_sets = [shingles(h, n) for h, _, _ in hashed_words(data, offsets)]
+            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(u) for u in all_sets], pa.binary()), pa.array([u.tobytes() for u in all_sets], pa.binary())], ["fp", "members"])
+
+    ids = cut(wanted.select("least", F.xxhash64("least").alias("_k")).distinct(), "set-ids")
+    passed = docs.withColumn("_k", F.xxhash64("doc_id")).filter(passing(ids, "_k"))
+    texts = passed.join(ids.hint("merge"), "_k", "left_semi").select("text")
+    # Repeated rows give equal sets; they are made one before any join.
+    return cut(texts.mapInArrow(sets, "fp binary, members binary").dropDuplicates(["fp"]), "members")
+
+
+def confirm(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Those (a, b) of pairs whose full shingle sets have 100 * intersection >= percent * union."""
 
     def meet(batches):
         import pyarrow as pa
@@ -166,11 +185,9 @@ def confirm(pairs: DataFrame, docs: DataFrame, n: int, percent: int, text_col: s
                 good.append(100 * both >= percent * (len(u) + len(v) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    wanted = cut(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct(), "wanted").withColumnRenamed("a", "fp")
-    texts = docs.join(wanted, "fp", "left_semi").select("fp", text_col)
-    members = cut(texts.mapInArrow(sets, "fp binary, members binary"), "members")
-    left = pairs.join(members.select(F.col("fp").alias("a"), F.col("members").alias("ma")), "a")
-    both = left.join(members.select(F.col("fp").alias("b"), F.col("members").alias("mb")), "b").select("a", "b", "ma", "mb")
+    # Sets are long: their size on disk says little, so they are never broadcast.
+    left = pairs.join(members.select(F.col("fp").alias("a"), F.col("members").alias("ma")).hint("merge"), "a")
+    both = left.join(members.select(F.col("fp").alias("b"), F.col("members").alias("mb")).hint("merge"), "b").select("a", "b", "ma", "mb")
     return both.mapInArrow(meet, "a binary, b binary")
 
 
@@ -212,18 +229,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     nodes = cut(nodes, "nodes")
     pairs = cut(forest_candidates(nodes), "candidates")
     holders = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    # One document of each node in a candidate pair gives its text: the one with the node's least id.
     in_pairs = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    chosen = cut(nodes.select("fp", "least").join(in_pairs, "fp", "left_semi"), "chosen")
-    source = holders.join(chosen, holders.doc_id.eqNullSafe(chosen.least)).select("fp", "text")
-    source = _own_text(source, n)
+    members = shingle_sets(holders, nodes.select("fp", "least").join(in_pairs, "fp", "left_semi"), n)
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a")).select("a", "b")
-    first = cut(confirm(best, source, n, percent, "text"), "links-1")
+    first = cut(confirm(best, members, percent), "links-1")
     label = components(first)
     named = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
     rest = pairs.join(best, ["a", "b"], "left_anti").join(named("a"), "a", "left").join(named("b"), "b", "left")
     rest = cut(rest.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"), "rest")
-    second = confirm(rest, source, n, percent, "text")
+    second = confirm(rest, members, percent)
     label = components(first.unionByName(second))
     joined = cut(nodes.select("fp", "least").join(label, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label")), "labels")
     smallest = joined.groupBy("label").agg(F.min("least").alias("component"))
@@ -232,20 +246,3 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     component = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
-
-def _own_text(source: DataFrame, n: int) -> DataFrame:
-    """Rows of (fp, text) whose text has that very set, once each: ids may repeat with other texts."""
-
-    def own(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            data, offsets = column_bytes(batch.column(1))
-            fps, seen, good = batch.column(0).to_pylist(), set(), []
-            for (h, _, _), fp in zip(hashed_words(data, offsets), fps, strict=True):
-                u = shingles(h, n)
-                good.append(np.array([u.sum(), mix64(u + np.uint64(len(u))).sum()], np.uint64).tobytes() == fp and fp not in seen)
-                seen.add(fp)
-            yield batch.filter(pa.array(good, pa.bool_()))
-
-    return source.mapInArrow(own, source.schema)
