@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import column_bytes, cut, hashed_words, mix64, shingles, small_batches
+from tessera.llm.common import column_bytes, cut, hashed_words, mix64, passing, shingles, small_batches
 
 TREES, DEPTH, LEAST, NEAR = 16, 8, 4, 3
 #: Of 128 one-bit labels, how many must agree for a candidate: five standard deviations below what a similarity of 0.8 gives.
