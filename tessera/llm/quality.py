@@ -49,15 +49,15 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> dict:
 
         for batch in batches:
             got = list(_text_terms(batch.column(2)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t.tolist() for t, _ in got], pa.list_(pa.int64())), pa.array([w.tolist() for _, w in got], pa.list_(pa.float64()))], ["doc_id", "quality", "t", "w"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t.astype(np.int16).tobytes() for t, _ in got], pa.binary()), pa.array([w.astype(np.float32).tobytes() for _, w in got], pa.binary())], ["doc_id", "quality", "t", "w"])
 
-    rows = docs.join(chosen, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), "text").mapInArrow(terms, "doc_id bigint, quality int, t array<bigint>, w array<double>").collect()
+    rows = docs.join(chosen, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), "text").mapInArrow(terms, "doc_id bigint, quality int, t binary, w binary").collect()
     rows.sort(key=lambda r: (r.doc_id, r.quality))
     if not rows:
         return {"idf": np.ones(DIMENSIONS, np.float32), "axes": np.zeros((DIMENSIONS, 1), np.float32), "vectors": np.zeros((0, 1), np.float32), "votes": np.zeros(0, np.float32), "prior": 0.5}
     x = np.zeros((len(rows), DIMENSIONS), np.float32)
     for i, r in enumerate(rows):
-        np.add.at(x[i], np.array(r.t), np.array(r.w, np.float32))
+        np.add.at(x[i], np.frombuffer(r.t, np.int16), np.frombuffer(r.w, np.float32))
     idf = (np.log((1 + len(rows)) / (1 + (x > 0).sum(0))) + 1).astype(np.float32)
     x *= idf
     x /= np.linalg.norm(x, axis=1, keepdims=True)
