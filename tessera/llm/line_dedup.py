@@ -5,8 +5,9 @@ sets of Jaccard similarity of 80 % or more share one of their first n - ceil(0.8
 sizes (length filter) and can still meet their overlap from that word on (positional filter).
 
 A line goes if an earlier line has the same set or a similar one, so one earlier match is enough.  The first round
-compares each set with the earliest set on each of its prefix words; the second joins those that are left with all
-earlier sets.  A crowd of near copies thus costs about its size in pairs, and no match is lost.
+compares each set with the earliest set on each of its RAREST rarest words; the second joins those that are left with all
+earlier sets.  A crowd of near copies thus costs about its size in pairs, and no match is lost.  A 64-bit map of word
+parities keeps out most pairs that share a word by chance: it differs in no more bits than the sets differ in words.
 
 Rarity is looked up in a fixed number of counts by hash of the word (BUCKETS), over all words; words that share a count
 are ordered by hash, so the order is total and the same everywhere, and only a bounded table leaves the aggregation.
@@ -15,36 +16,28 @@ are ordered by hash, so the order is total and the same everywhere, and only a b
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import constant_array, cut, passing
 
-BUCKETS, MAP_WORDS, SPACES = 1 << 16, 1 << 14, r"[\x20\x09-\x0D]+"
+BUCKETS, RAREST, SPACES = 1 << 16, 3, r"[\x20\x09-\x0D]+"
 LOW = (1 << 54) - 1
 
 
-def _array(values) -> F.Column:
-    """A constant array; the optimizer folds it to one literal."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
-
-
 def _words(text) -> F.Column:
     return F.array_remove(F.split(text, SPACES), "")
 
 
 def rarity(docs: DataFrame) -> F.Column:
     """The array of codes, by bucket, that order words from rare to common."""
-    counts = docs.select(F.explode(_words(F.col("_text"))).alias("w")).groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b")).agg((F.log2(F.count("*") + 1) * 8).cast("int").alias("code"))
+    counts = docs.select(F.explode(_words(F.col("_text"))).alias("w")).groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).agg((F.log2(F.count("*") + 1) * 8).cast("int").alias("code"))
     found = {r.b: r.code for r in counts.collect()}  # BUCKETS rows at most
-    return _array([found.get(b, 0) for b in range(BUCKETS)])
+    return constant_array([found.get(b, 0) << 54 for b in range(BUCKETS)])
 
 
 def _ids(line, codes) -> F.Column:
     """The sorted distinct words of a line as longs: 9 bits of rarity code, then 54 of hash."""
-
-    def one(w):
-        h = F.xxhash64(w)
-        return F.shiftleft(F.get(codes, F.pmod(h, F.lit(BUCKETS)).cast("int")), 54).bitwiseOR(h.bitwiseAND(F.lit(LOW)))
-
-    return F.array_distinct(F.sort_array(F.transform(_words(line), one)))
+    hashes = F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
+    code = lambda h: F.coalesce(F.get(codes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0).cast("long"))
+    return F.sort_array(F.transform(hashes, lambda h: code(h).bitwiseOR(h.bitwiseAND(F.lit(LOW)))))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -52,8 +45,10 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _identified(lines: DataFrame, codes) -> DataFrame:
-    """lines with ids, n and the set's name (s1, s2)."""
-    return lines.withColumn("ids", _ids(F.col("line"), codes)).drop("line").withColumn("n", F.size("ids")).withColumn("s1", F.xxhash64("ids")).withColumn("s2", F.xxhash64(F.lit(7), "ids"))
+    """lines with ids, n, and the set's name: a hash s1 and the parities bm."""
+    parity = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+    marked = lines.withColumn("ids", _ids(F.col("line"), codes)).drop("line")
+    return marked.withColumn("n", F.size("ids")).withColumn("s1", F.xxhash64("ids")).withColumn("bm", parity)
 
 
 def _need(n) -> F.Column:
@@ -61,34 +56,44 @@ def _need(n) -> F.Column:
     return F.floor((4 * n + 4) / 5).cast("int")
 
 
-def _may_match(n, i, m, j) -> F.Column:
-    """Length and positional filters for words at positions i of n and j of m."""
+def _may_match(x: str, y: str) -> F.Column:
+    """Length, positional and parity filters for structs (n, i, bm): words at positions i of sets of n words."""
+    n, i, m, j = F.col(f"{x}.n"), F.col(f"{x}.i"), F.col(f"{y}.n"), F.col(f"{y}.i")
     overlap = F.floor((4 * (n + m) + 8) / 9)
-    return (5 * m >= 4 * n) & (5 * n >= 4 * m) & (1 + F.least(n - i, m - j) - 1 >= overlap)
+    apart = F.bit_count(F.col(f"{x}.bm").bitwiseXOR(F.col(f"{y}.bm")))
+    return (5 * m >= 4 * n) & (5 * n >= 4 * m) & (F.least(n - i, m - j) >= overlap) & (apart <= n + m - 2 * overlap)
+
+
+def _postings(firsts: DataFrame, name: str, most: int | None = None) -> DataFrame:
+    """(tok, <name>): one row for each prefix word of a set, with a struct (_id, no, n, i, bm) that starts with its place."""
+    words = F.col("prefix") if most is None else F.slice("prefix", 1, most)
+    rows = firsts.select("_id", "no", "n", "bm", F.posexplode(words).alias("i", "tok"))
+    return rows.select("tok", F.struct("_id", "no", "n", "i", "bm").alias(name))
+
+
+def _pairs(df: DataFrame) -> DataFrame:
+    return df.select(F.struct("a._id", "a.no").alias("a"), F.struct("b._id", "b.no").alias("b")).distinct()
 
 
-def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, codes) -> DataFrame:
-    """(s1, s2): the sets named b of pairs (a, b: s1 of an earlier and a later set) whose Jaccard similarity is 0.8 or more."""
-    key = F.xxhash64("_id", "th", "no")
-    names = pairs.select(F.col("a").alias("s1")).unionByName(pairs.select(F.col("b").alias("s1"))).distinct()
-    wanted = cut(firsts.join(names, "s1", "left_semi").select(key.alias("k"), "s1", "_id", "th", "no"), "line-wanted")
+def _verified(pairs: DataFrame, docs: DataFrame, codes) -> DataFrame:
+    """(s1, bm): the sets at places b of pairs (a, b: structs _id, no) that have a Jaccard similarity of 0.8 or more with an
+    earlier set at a."""
+    names = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
+    wanted = cut(names.select(F.xxhash64("a._id", "a.no").alias("k")).distinct(), "line-wanted")
     # A map of fixed size passes the wanted lines and few others, before any word is looked at.
-    word, bit = F.pmod("k", F.lit(MAP_WORDS)).cast("int"), F.pmod(F.shiftright("k", 14), F.lit(63)).cast("int")
-    found = {r.w: r.m for r in wanted.groupBy(word.alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("m")).collect()}  # MAP_WORDS rows at most
-    bits = _array([found.get(w, 0) for w in range(MAP_WORDS)])
-    passed = _lines(docs).withColumn("k", key).filter(F.get(bits, word).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bit)) != 0)
-    sets = cut(_identified(passed, codes).select("k", "s1", "s2", "ids", "n").join(wanted.select("k", "s1", "_id", "th", "no"), ["k", "s1"]), "line-sets")
-    side = lambda p: sets.select(F.col("s1").alias(p), F.col("s2").alias(f"{p}2"), F.col("ids").alias(f"{p}ids"), F.col("n").alias(f"{p}n"), F.struct("_id", "th", "no").alias(f"{p}at"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    passed = _lines(docs).withColumn("k", F.xxhash64("_id", "no")).filter(passing(wanted, "k"))
+    sets = cut(_identified(passed, codes).select(F.struct("_id", "no").alias("at"), "th", "s1", "bm", "ids", "n"), "line-sets")
+    side = lambda p: sets.select(F.col("at").alias(p), F.col("s1").alias(f"{p}s1"), F.col("bm").alias(f"{p}bm"), F.col("ids").alias(f"{p}ids"), F.col("n").alias(f"{p}n"), F.struct("at._id", "at.no", "th").alias(f"{p}at"))
+    both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
     common = F.size(F.array_intersect("aids", "bids"))
     good = (F.col("aat") < F.col("bat")) & (100 * common >= 80 * (F.col("an") + F.col("bn") - common))
-    return both.filter(good).select(F.col("b").alias("s1"), F.col("b2").alias("s2")).distinct()
+    return both.filter(good).select(F.col("bs1").alias("s1"), F.col("bbm").alias("bm")).distinct()
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     r"""docs with n_lines, removed_lines (sorted numbers, from 0) and clean_text (the other lines, joined).
 
-    Lines are what \n separates; their order is (id, hash of the text, number), null ids first.  Lines without words stay.
+    Lines are what \n separates; their order is (id, number, hash of the text), null ids first.  Lines without words stay.
     A null text has no lines and stays null; rows with equal id and text count as one document and lose the same lines;
     an empty table gives an empty result; columns of docs with the added names are replaced.
     """
@@ -96,26 +101,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     plain = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).filter("_text is not null")
     codes = rarity(plain)
     prefix = F.transform(F.slice("ids", 1, F.when(F.col("n") < 4, F.lit(0)).otherwise(F.col("n") - _need(F.col("n")) + 1)), lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    lines = cut(_identified(_lines(plain), codes).filter("n > 0").select("_id", "th", "no", "n", "s1", "s2", prefix.alias("prefix")), "lines")
-    at = F.struct("_id", "th", "no")
-    least = lines.groupBy("s1", "s2").agg(F.min(at).alias("least"))
-    named = cut(lines.join(least, ["s1", "s2"]).withColumn("first", at == F.col("least")).select("_id", "th", "no", "n", "s1", "s2", "first", F.when(F.col("first"), F.col("prefix")).alias("prefix")), "line-firsts")
-    firsts = named.filter("first")
-    # Postings of prefix words.  Sets alone on a word leave here: nobody meets them there.
-    by = Window.partitionBy("tok").orderBy("_id", "th", "no")
-    postings = firsts.filter("n >= 4").select("s1", "_id", "th", "no", "n", F.posexplode("prefix").alias("i", "tok"))
-    lead = F.first(F.struct("s1", "n", "i")).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    postings = postings.withColumn("lead", lead).withColumn("next", F.lead("s1").over(by)).filter((F.col("lead.s1") != F.col("s1")) | F.col("next").isNotNull()).drop("next")
-    postings = cut(postings, "line-postings")
-    star = postings.filter((F.col("lead.s1") != F.col("s1")) & _may_match(F.col("n"), F.col("i"), F.col("lead.n"), F.col("lead.i")))
-    star = cut(star.select(F.col("lead.s1").alias("a"), F.col("s1").alias("b")).distinct(), "line-star")
-    gone = cut(_verified(star, firsts, plain, codes), "line-gone-1")
-    later = postings.join(gone.select("s1"), "s1", "left_anti").filter(F.col("lead.s1") != F.col("s1")).select("tok", F.col("s1").alias("b"), F.col("n").alias("bn"), F.col("i").alias("bi"), F.struct("_id", "th", "no").alias("bat"))
-    earlier = postings.select("tok", F.col("s1").alias("a"), F.col("n").alias("an"), F.col("i").alias("ai"), F.struct("_id", "th", "no").alias("aat"))
-    rest = later.join(earlier, "tok").filter((F.col("aat") < F.col("bat")) & _may_match(F.col("bn"), F.col("bi"), F.col("an"), F.col("ai"))).select("a", "b").distinct()
-    rest = cut(rest.join(star, ["a", "b"], "left_anti"), "line-rest")
-    gone = gone.unionByName(_verified(rest, firsts, plain, codes)).distinct().withColumn("gone", F.lit(True))
-    removed = named.drop("prefix").join(gone, ["s1", "s2"], "left").filter(~F.col("first") | F.col("gone"))
+    lines = cut(_identified(_lines(plain), codes).filter("n > 0").select("_id", "no", "th", "n", "s1", "bm", prefix.alias("prefix")), "lines")
+    at = F.struct("_id", "no", "th")
+    # The least struct is the earliest place; what follows it comes along.
+    least = lines.groupBy("s1", "bm").agg(F.min(F.struct("_id", "no", "th", "n", "prefix")).alias("f"))
+    firsts = cut(least.select("s1", "bm", "f.*"), "line-firsts")
+    crowd = firsts.filter("n >= 4")
+    by = Window.partitionBy("tok").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    star = _postings(crowd, "b", RAREST).withColumn("a", F.first("b").over(by)).filter((F.struct("a._id", "a.no") < F.struct("b._id", "b.no")) & _may_match("b", "a"))
+    star = cut(_pairs(star), "line-star")
+    gone = cut(_verified(star, plain, codes), "line-gone-1")
+    later = _postings(crowd.join(gone, ["s1", "bm"], "left_anti"), "b")
+    met = later.join(_postings(crowd, "a").hint("merge"), "tok").filter((F.struct("a._id", "a.no") <= F.struct("b._id", "b.no")) & _may_match("b", "a"))
+    rest = cut(_pairs(met).join(star, ["a", "b"], "left_anti"), "line-rest")
+    gone = gone.unionByName(_verified(rest, plain, codes)).distinct().withColumn("gone", F.lit(True))
+    verdict = firsts.select("s1", "bm", at.alias("least")).join(gone, ["s1", "bm"], "left")
+    removed = lines.select("_id", "no", "th", "s1", "bm").join(verdict, ["s1", "bm"]).filter((at != F.col("least")) | F.col("gone"))
     lost = removed.groupBy("_id", "th").agg(F.sort_array(F.collect_set("no")).alias("_lost")).withColumnRenamed("_id", "_lid")
     keyed = whole.withColumn("_th", F.xxhash64(F.col(text_col).cast("string"))).withColumn("n_lines", F.coalesce(F.size(F.split(F.col(text_col).cast("string"), "\n", -1)), F.lit(0)).cast("long"))
     out = keyed.join(lost, F.col(id_col).eqNullSafe(F.col("_lid")) & (F.col("_th") == F.col("th")), "left").withColumn("removed_lines", F.coalesce("_lost", F.array().cast("array<int>")))
