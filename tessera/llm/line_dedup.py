@@ -82,8 +82,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, codes) -> DataFrame:
     wanted = cut(names.select(F.xxhash64("a._id", "a.no").alias("k")).distinct(), "line-wanted")
     # A map of fixed size passes the wanted lines and few others, before any word is looked at.
     passed = _lines(docs).withColumn("k", F.xxhash64("_id", "no")).filter(passing(wanted, "k"))
-    sets = cut(_identified(passed, codes).select(F.struct("_id", "no").alias("at"), "th", "s1", "bm", "ids", "n"), "line-sets")
-    side = lambda p: sets.select(F.col("at").alias(p), F.col("s1").alias(f"{p}s1"), F.col("bm").alias(f"{p}bm"), F.col("ids").alias(f"{p}ids"), F.col("n").alias(f"{p}n"), F.struct("at._id", "at.no", "th").alias(f"{p}at"))
+    sets = cut(_identified(passed, codes).select(F.struct("_id", "no").alias("at"), "s1", "bm", "ids", "n"), "line-sets")
+    side = lambda p: sets.select(F.col("at").alias(p), F.col("s1").alias(f"{p}s1"), F.col("bm").alias(f"{p}bm"), F.col("ids").alias(f"{p}ids"), F.col("n").alias(f"{p}n"), F.col("at").alias(f"{p}at"))
     both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
     common = F.size(F.array_intersect("aids", "bids"))
     good = (F.col("aat") < F.col("bat")) & (100 * common >= 80 * (F.col("an") + F.col("bn") - common))
@@ -93,7 +93,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, codes) -> DataFrame:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     r"""docs with n_lines, removed_lines (sorted numbers, from 0) and clean_text (the other lines, joined).
 
-    Lines are what \n separates; their order is (id, number, hash of the text), null ids first.  Lines without words stay.
+    Lines are what \n separates; earlier means a smaller (id, number), null ids first,
+    so lines of one number in rows that share an id do not precede each other.  Lines without words stay.
     A null text has no lines and stays null; rows with equal id and text count as one document and lose the same lines;
     an empty table gives an empty result; columns of docs with the added names are replaced.
     """
@@ -102,9 +103,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     codes = rarity(plain)
     prefix = F.transform(F.slice("ids", 1, F.when(F.col("n") < 4, F.lit(0)).otherwise(F.col("n") - _need(F.col("n")) + 1)), lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     lines = cut(_identified(_lines(plain), codes).filter("n > 0").select("_id", "no", "th", "n", "s1", "bm", prefix.alias("prefix")), "lines")
-    at = F.struct("_id", "no", "th")
+    at = F.struct("_id", "no")
     # The least struct is the earliest place; what follows it comes along.
-    least = lines.groupBy("s1", "bm").agg(F.min(F.struct("_id", "no", "th", "n", "prefix")).alias("f"))
+    least = lines.groupBy("s1", "bm").agg(F.min(F.struct("_id", "no", "n", "prefix")).alias("f"))
     firsts = cut(least.select("s1", "bm", "f.*"), "line-firsts")
     crowd = firsts.filter("n >= 4")
     by = Window.partitionBy("tok").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -112,7 +113,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     star = cut(_pairs(star), "line-star")
     gone = cut(_verified(star, plain, codes), "line-gone-1")
     later = _postings(crowd.join(gone, ["s1", "bm"], "left_anti"), "b")
-    met = later.join(_postings(crowd, "a").hint("merge"), "tok").filter((F.struct("a._id", "a.no") <= F.struct("b._id", "b.no")) & _may_match("b", "a"))
+    met = later.join(_postings(crowd, "a").hint("merge"), "tok").filter((F.struct("a._id", "a.no") < F.struct("b._id", "b.no")) & _may_match("b", "a"))
     rest = cut(_pairs(met).join(star, ["a", "b"], "left_anti"), "line-rest")
     gone = gone.unionByName(_verified(rest, plain, codes)).distinct().withColumn("gone", F.lit(True))
     verdict = firsts.select("s1", "bm", at.alias("least")).join(gone, ["s1", "bm"], "left")
