@@ -56,12 +56,22 @@ def _need(n) -> F.Column:
     return F.floor((4 * n + 4) / 5).cast("int")
 
 
-def _may_match(x: str, y: str) -> F.Column:
-    """Length, positional and parity filters for structs (n, i, bm): words at positions i of sets of n words."""
-    n, i, m, j = F.col(f"{x}.n"), F.col(f"{x}.i"), F.col(f"{y}.n"), F.col(f"{y}.i")
+def _may_match(n, i, x, m, j, y) -> F.Column:
+    """Length, positional and parity filters for words at positions i of n and j of m, of sets with parities x and y."""
     overlap = F.floor((4 * (n + m) + 8) / 9)
-    apart = F.bit_count(F.col(f"{x}.bm").bitwiseXOR(F.col(f"{y}.bm")))
-    return (5 * m >= 4 * n) & (5 * n >= 4 * m) & (F.least(n - i, m - j) >= overlap) & (apart <= n + m - 2 * overlap)
+    return (5 * m >= 4 * n) & (5 * n >= 4 * m) & (F.least(n - i, m - j) >= overlap) & (F.bit_count(x.bitwiseXOR(y)) <= n + m - 2 * overlap)
+
+
+def _marked(sets: DataFrame, gone: DataFrame) -> DataFrame:
+    """sets with g: whether they are in gone (s1, bm).  What the bit map does not pass needs no join."""
+    may = passing(gone.withColumn("k", F.col("s1")), "k")
+    keyed = sets.withColumn("k", F.col("s1"))
+    some = keyed.filter(may).join(gone.withColumn("g", F.lit(True)), ["s1", "bm"], "left").withColumn("g", F.coalesce("g", F.lit(False)))
+    return some.drop("k").unionByName(keyed.filter(~may).withColumn("g", F.lit(False)).drop("k"))
+
+
+def _flat(sets: DataFrame, p: str, words) -> DataFrame:
+    return sets.select(F.col("_id").alias(f"{p}id"), F.col("no").alias(f"{p}no"), F.col("n").alias(f"{p}n"), F.col("bm").alias(f"{p}bm"), F.col("g").alias(f"{p}g"), F.posexplode(words).alias(f"{p}i", "tok"))
 
 
 def _postings(firsts: DataFrame, name: str, most: int | None = None) -> DataFrame:
@@ -102,19 +112,27 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     plain = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).filter("_text is not null")
     codes = rarity(plain)
     prefix = F.transform(F.slice("ids", 1, F.when(F.col("n") < 4, F.lit(0)).otherwise(F.col("n") - _need(F.col("n")) + 1)), lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    lines = cut(_identified(_lines(plain), codes).filter("n > 0").select("_id", "no", "th", "n", "s1", "bm", prefix.alias("prefix")), "lines")
+    # Lines without words are dropped behind the cut: a filter before it would split and hash every line twice.
+    lines = cut(_identified(_lines(plain), codes).select("_id", "no", "th", "n", "s1", "bm", prefix.alias("prefix")), "lines").filter("n > 0")
     at = F.struct("_id", "no")
     # The least struct is the earliest place; what follows it comes along.
     least = lines.groupBy("s1", "bm").agg(F.min(F.struct("_id", "no", "n", "prefix")).alias("f"))
     firsts = cut(least.select("s1", "bm", "f.*"), "line-firsts")
     crowd = firsts.filter("n >= 4")
     by = Window.partitionBy("tok").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    star = _postings(crowd, "b", RAREST).withColumn("a", F.first("b").over(by)).filter((F.struct("a._id", "a.no") < F.struct("b._id", "b.no")) & _may_match("b", "a"))
+    star = _postings(crowd, "b", RAREST).withColumn("a", F.first("b").over(by)).filter((F.struct("a._id", "a.no") < F.struct("b._id", "b.no")) & _may_match(*[F.col(f"{s}.{c}") for s in "ba" for c in ("n", "i", "bm")]))
     star = cut(_pairs(star), "line-star")
     gone = cut(_verified(star, plain, codes), "line-gone-1")
-    later = _postings(crowd.join(gone, ["s1", "bm"], "left_anti"), "b")
-    met = later.join(_postings(crowd, "a").hint("merge"), "tok").filter((F.struct("a._id", "a.no") < F.struct("b._id", "b.no")) & _may_match("b", "a"))
-    rest = cut(_pairs(met).join(star, ["a", "b"], "left_anti"), "line-rest")
+    # In a pair, the smaller set's first common word is among its first n / 9 + 1 words; only the larger set's whole prefix counts.
+    marked = _marked(crowd, gone)
+    small = _flat(marked, "x", F.slice("prefix", 1, F.floor(F.col("n") / 9).cast("int") + 1))
+    x, y = F.struct("xid", "xno"), F.struct("yid", "yno")
+    met = small.join(_flat(marked, "y", F.col("prefix")).hint("merge"), "tok")
+    live = F.when(x < y, ~F.col("yg")).otherwise((y < x) & ~F.col("xg"))
+    met = met.filter((F.col("xn") <= F.col("yn")) & live & _may_match(*[F.col(f"{s}{c}") for s in "xy" for c in ("n", "i", "bm")]))
+    pair = lambda p: F.struct(F.col(f"{p}id").alias("_id"), F.col(f"{p}no").alias("no"))
+    met = met.select(F.when(x < y, pair("x")).otherwise(pair("y")).alias("a"), F.when(x < y, pair("y")).otherwise(pair("x")).alias("b"))
+    rest = cut(met.distinct().join(star, ["a", "b"], "left_anti"), "line-rest")
     gone = gone.unionByName(_verified(rest, plain, codes)).distinct().withColumn("gone", F.lit(True))
     verdict = firsts.select("s1", "bm", at.alias("least")).join(gone, ["s1", "bm"], "left")
     removed = lines.select("_id", "no", "th", "s1", "bm").join(verdict, ["s1", "bm"]).filter((at != F.col("least")) | F.col("gone"))
