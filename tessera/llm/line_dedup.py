@@ -5,7 +5,7 @@ sets of Jaccard similarity of 80 % or more share one of their first n - ceil(0.8
 sizes (length filter) and can still meet their overlap from that word on (positional filter).
 
 A line goes if an earlier line has the same set or a similar one, so one earlier match is enough.  The first round
-compares each set with the earliest set on each of its RAREST rarest words; the second joins those that are left with all
+compares each set with the earliest set on each of the MIDDLE words in the middle of its prefix; the second joins those that are left with all
 earlier sets.  A crowd of near copies thus costs about its size in pairs, and no match is lost.  A 64-bit map of word
 parities keeps out most pairs that share a word by chance: it differs in no more bits than the sets differ in words.
 
@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import constant_array, cut, passing
 
-BUCKETS, RAREST, SPACES = 1 << 16, 3, r"[\x20\x09-\x0D]+"
+BUCKETS, MIDDLE, LONG, SPACES = 1 << 16, 4, 96, r"[\x20\x09-\x0D]+"
 LOW = (1 << 54) - 1
+MAPS = ("bm", "q1", "q2", "q3")
 
 
 def _words(text) -> F.Column:
@@ -46,9 +47,15 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def _identified(lines: DataFrame, codes) -> DataFrame:
     """lines with ids, n, and the set's name: a hash s1 and the parities bm."""
-    parity = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    parity = lambda ids: F.aggregate(ids, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
+    part = lambda w: parity(F.filter("ids", lambda x: x.bitwiseAND(F.lit(192)) == 64 * w))
     marked = lines.withColumn("ids", _ids(F.col("line"), codes)).drop("line")
-    return marked.withColumn("n", F.size("ids")).withColumn("s1", F.xxhash64("ids")).withColumn("bm", parity)
+    marked = marked.withColumn("n", F.size("ids")).withColumn("s1", F.xxhash64("ids")).withColumn("bm", parity("ids"))
+    # A long set has many words for 64 parities: it has them by quarters of the words, too.
+    for w in (1, 2, 3):
+        marked = marked.withColumn(f"q{w}", F.when(F.col("n") >= LONG, part(w)).otherwise(F.lit(0).cast("long")))
+    return marked
 
 
 def _need(n) -> F.Column:
@@ -56,10 +63,15 @@ def _need(n) -> F.Column:
     return F.floor((4 * n + 4) / 5).cast("int")
 
 
-def _may_match(n, i, x, m, j, y) -> F.Column:
-    """Length, positional and parity filters for words at positions i of n and j of m, of sets with parities x and y."""
+def _may_match(x, y) -> F.Column:
+    """Length, positional and parity filters; x and y give the columns n, i (place of the common word), bm, q1, q2, q3."""
+    n, i, m, j = x("n"), x("i"), y("n"), y("i")
     overlap = F.floor((4 * (n + m) + 8) / 9)
-    return (5 * m >= 4 * n) & (5 * n >= 4 * m) & (F.least(n - i, m - j) >= overlap) & (F.bit_count(x.bitwiseXOR(y)) <= n + m - 2 * overlap)
+    apart = [F.bit_count(x(c).bitwiseXOR(y(c))) for c in ("bm", "q1", "q2", "q3")]
+    rest = lambda z: z("bm").bitwiseXOR(z("q1")).bitwiseXOR(z("q2")).bitwiseXOR(z("q3"))
+    quarters = apart[1] + apart[2] + apart[3] + F.bit_count(rest(x).bitwiseXOR(rest(y)))
+    near = F.when((n >= LONG) & (m >= LONG), quarters).otherwise(apart[0]) <= n + m - 2 * overlap
+    return (5 * m >= 4 * n) & (5 * n >= 4 * m) & (F.least(n - i, m - j) >= overlap) & near
 
 
 def _marked(sets: DataFrame, gone: DataFrame) -> DataFrame:
@@ -71,14 +83,18 @@ def _marked(sets: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def _flat(sets: DataFrame, p: str, words) -> DataFrame:
-    return sets.select(F.col("_id").alias(f"{p}id"), F.col("no").alias(f"{p}no"), F.col("n").alias(f"{p}n"), F.col("bm").alias(f"{p}bm"), F.col("g").alias(f"{p}g"), F.posexplode(words).alias(f"{p}i", "tok"))
+    return sets.select(F.col("_id").alias(f"{p}id"), F.col("no").alias(f"{p}no"), F.col("n").alias(f"{p}n"), *[F.col(c).alias(f"{p}{c}") for c in MAPS], F.col("g").alias(f"{p}g"), F.posexplode(words).alias(f"{p}i", "tok"))
 
 
-def _postings(firsts: DataFrame, name: str, most: int | None = None) -> DataFrame:
-    """(tok, <name>): one row for each prefix word of a set, with a struct (_id, no, n, i, bm) that starts with its place."""
-    words = F.col("prefix") if most is None else F.slice("prefix", 1, most)
-    rows = firsts.select("_id", "no", "n", "bm", F.posexplode(words).alias("i", "tok"))
-    return rows.select("tok", F.struct("_id", "no", "n", "i", "bm").alias(name))
+def _postings(firsts: DataFrame, name: str, most: int) -> DataFrame:
+    """(tok, <name>): one row for each of the `most` middle prefix words of a set, with a struct (_id, no, n, i, bm).
+
+    A changed word is often new and so the rarest; the middle of the prefix is what near copies keep.
+    """
+    size = F.size("prefix")
+    words = F.slice("prefix", F.floor((size - F.least(F.lit(most), size)) / 2).cast("int") + 1, most)
+    rows = firsts.select("_id", "no", "n", *MAPS, F.posexplode(words).alias("k", "tok"), F.floor((size - F.least(F.lit(most), size)) / 2).cast("int").alias("off"))
+    return rows.select("tok", F.struct("_id", "no", "n", (F.col("k") + F.col("off")).alias("i"), *MAPS).alias(name))
 
 
 def _pairs(df: DataFrame) -> DataFrame:
@@ -113,14 +129,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     codes = rarity(plain)
     prefix = F.transform(F.slice("ids", 1, F.when(F.col("n") < 4, F.lit(0)).otherwise(F.col("n") - _need(F.col("n")) + 1)), lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     # Lines without words are dropped behind the cut: a filter before it would split and hash every line twice.
-    lines = cut(_identified(_lines(plain), codes).select("_id", "no", "th", "n", "s1", "bm", prefix.alias("prefix")), "lines").filter("n > 0")
+    lines = cut(_identified(_lines(plain), codes).select("_id", "no", "th", "n", "s1", *MAPS, prefix.alias("prefix")), "lines").filter("n > 0")
     at = F.struct("_id", "no")
     # The least struct is the earliest place; what follows it comes along.
-    least = lines.groupBy("s1", "bm").agg(F.min(F.struct("_id", "no", "n", "prefix")).alias("f"))
+    least = lines.groupBy("s1", "bm").agg(F.min(F.struct("_id", "no", "n", "q1", "q2", "q3", "prefix")).alias("f"))
     firsts = cut(least.select("s1", "bm", "f.*"), "line-firsts")
     crowd = firsts.filter("n >= 4")
     by = Window.partitionBy("tok").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    star = _postings(crowd, "b", RAREST).withColumn("a", F.first("b").over(by)).filter((F.struct("a._id", "a.no") < F.struct("b._id", "b.no")) & _may_match(*[F.col(f"{s}.{c}") for s in "ba" for c in ("n", "i", "bm")]))
+    star = _postings(crowd, "b", MIDDLE).withColumn("a", F.first("b").over(by)).filter((F.struct("a._id", "a.no") < F.struct("b._id", "b.no")) & _may_match(lambda c: F.col(f"b.{c}"), lambda c: F.col(f"a.{c}")))
     star = cut(_pairs(star), "line-star")
     gone = cut(_verified(star, plain, codes), "line-gone-1")
     # In a pair, the smaller set's first common word is among its first n / 9 + 1 words; only the larger set's whole prefix counts.
@@ -129,7 +145,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     x, y = F.struct("xid", "xno"), F.struct("yid", "yno")
     met = small.join(_flat(marked, "y", F.col("prefix")).hint("merge"), "tok")
     live = F.when(x < y, ~F.col("yg")).otherwise((y < x) & ~F.col("xg"))
-    met = met.filter((F.col("xn") <= F.col("yn")) & live & _may_match(*[F.col(f"{s}{c}") for s in "xy" for c in ("n", "i", "bm")]))
+    met = met.filter((F.col("xn") <= F.col("yn")) & live & _may_match(lambda c: F.col(f"x{c}"), lambda c: F.col(f"y{c}")))
     pair = lambda p: F.struct(F.col(f"{p}id").alias("_id"), F.col(f"{p}no").alias("no"))
     met = met.select(F.when(x < y, pair("x")).otherwise(pair("y")).alias("a"), F.when(x < y, pair("y")).otherwise(pair("x")).alias("b"))
     rest = cut(met.distinct().join(star, ["a", "b"], "left_anti"), "line-rest")
