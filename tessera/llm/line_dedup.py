@@ -5,7 +5,8 @@ sets of Jaccard similarity of 80 % or more share one of their first n - ceil(0.8
 sizes (length filter) and can still meet their overlap from that word on (positional filter).
 
 A line goes if an earlier line has the same set or a similar one, so one earlier match is enough.  The first round
-compares each set with the earliest set on each of the MIDDLE words in the middle of its prefix; the second joins those that are left with all
+compares each set with the earliest set, and with the BEFORE sets just before it, on each of the MIDDLE words in the middle
+of its prefix; the second joins those that are left with all
 earlier sets.  A crowd of near copies thus costs about its size in pairs, and no match is lost.  A 64-bit map of word
 parities keeps out most pairs that share a word by chance: it differs in no more bits than the sets differ in words.
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import constant_array, cut, passing
 
-BUCKETS, MIDDLE, LONG, SPACES = 1 << 16, 4, 96, r"[\x20\x09-\x0D]+"
+BUCKETS, MIDDLE, BEFORE, LONG, SPACES = 1 << 16, 4, 3, 96, r"[\x20\x09-\x0D]+"
 LOW = (1 << 54) - 1
 MAPS = ("bm", "q1", "q2", "q3")
 
@@ -135,8 +136,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     least = lines.groupBy("s1", "bm").agg(F.min(F.struct("_id", "no", "n", "q1", "q2", "q3", "prefix")).alias("f"))
     firsts = cut(least.select("s1", "bm", "f.*"), "line-firsts")
     crowd = firsts.filter("n >= 4")
-    by = Window.partitionBy("tok").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    star = _postings(crowd, "b", MIDDLE).withColumn("a", F.first("b").over(by)).filter((F.struct("a._id", "a.no") < F.struct("b._id", "b.no")) & _may_match(lambda c: F.col(f"b.{c}"), lambda c: F.col(f"a.{c}")))
+    by = Window.partitionBy("tok").orderBy("b")
+    leaders = F.array(F.first("b").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)), *[F.lag("b", k).over(by) for k in range(1, BEFORE + 1)])
+    star = _postings(crowd, "b", MIDDLE).withColumn("a", leaders).select("b", F.explode(F.array_distinct("a")).alias("a")).filter("a is not null")
+    star = star.filter((F.struct("a._id", "a.no") < F.struct("b._id", "b.no")) & _may_match(lambda c: F.col(f"b.{c}"), lambda c: F.col(f"a.{c}")))
     star = cut(_pairs(star), "line-star")
     gone = cut(_verified(star, plain, codes), "line-gone-1")
     # In a pair, the smaller set's first common word is among its first n / 9 + 1 words; only the larger set's whole prefix counts.
