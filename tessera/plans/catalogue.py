@@ -31,7 +31,12 @@ def r(c, digits: int = 6):
     return F.round((F.col(c) if isinstance(c, str) else c) + 0.0, digits)
 
 
-X, D = F.col("l_extendedprice"), F.col("l_discount")
+def _price():
+    return F.col("l_extendedprice")
+
+
+def _discount():
+    return F.col("l_discount")
 
 
 @_query("""
@@ -40,7 +45,7 @@ s AS (SELECT *, p * (1 - d) AS net, p / q AS unit, CASE WHEN p > 40000 AND d > 0
 SELECT segment, count(*) AS n, round(avg(net), 3) AS mean_net, round(stddev_samp(unit), 4) AS sd_unit, round(corr(q, net), 6) AS r_q_net, round(regr_slope(net, q), 4) AS slope, round(regr_intercept(net, q), 3) AS intercept, round(regr_r2(net, q), 6) AS r2 FROM s GROUP BY segment""")
 def segment_pipeline(spark, sf_dir):
     """The flagship: clean, derive features, segment, describe, correlate and regress in one pass over lineitem."""
-    kept = table.multi_filter_where(_t(spark, sf_dir, "lineitem"), [F.col("l_quantity").alias("q"), ieee.clamp(X, 1000, 60000).alias("p"), D.alias("d")], [("l_quantity", "gt", 2.0), ("l_extendedprice", "lt", 90000.0), ("l_discount", "ge", 0.0)])
+    kept = table.multi_filter_where(_t(spark, sf_dir, "lineitem"), [F.col("l_quantity").alias("q"), ieee.clamp(_price(), 1000, 60000).alias("p"), _discount().alias("d")], [("l_quantity", "gt", 2.0), ("l_extendedprice", "lt", 90000.0), ("l_discount", "ge", 0.0)])
     full = kept.withColumn("net", F.col("p") * (1 - F.col("d"))).withColumn("unit", ieee.div(F.col("p"), F.col("q")))
     seg = table.segments(full, "segment", [("deal", [("p", "gt", 40000.0), ("d", "gt", 0.05)]), ("premium", [("p", "gt", 40000.0)]), ("bargain", [("d", "gt", 0.05)])], "base")
     fit = stats.linear_regression(F.col("q"), F.col("net"))
@@ -66,12 +71,12 @@ def filter_by_masks(spark, sf_dir):
 def masks_any_all(spark, sf_dir):
     q = F.col("l_quantity")
     m = lambda op, t: F.sum(F.when(ieee.compare(q, op, t), 1.0).otherwise(0.0))
-    return _t(spark, sf_dir, "lineitem").agg(m("gt", 25.0).alias("gt"), m("lt", 10.0).alias("lt"), m("eq", 10.0).alias("eq"), reduce.any_(D).alias("any_nonzero"), reduce.all_(D).alias("all_nonzero"))
+    return _t(spark, sf_dir, "lineitem").agg(m("gt", 25.0).alias("gt"), m("lt", 10.0).alias("lt"), m("eq", 10.0).alias("eq"), reduce.any_(_discount()).alias("any_nonzero"), reduce.all_(_discount()).alias("all_nonzero"))
 
 
 @_query("SELECT l_orderkey, l_linenumber, round(CASE WHEN l_quantity > 25 THEN l_extendedprice ELSE l_quantity END, 2) AS v FROM lineitem")
 def where_select(spark, sf_dir):
-    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", r(F.when(ieee.compare(F.col("l_quantity"), "gt", 25.0), X).otherwise(F.col("l_quantity")), 2).alias("v"))
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", r(F.when(ieee.compare(F.col("l_quantity"), "gt", 25.0), _price()).otherwise(F.col("l_quantity")), 2).alias("v"))
 
 
 _UNARY = {"sqrt": "sqrt(u)", "cbrt": "cbrt(u)", "sin": "sin(u)", "cos": "cos(u)", "tan": "tan(u)", "atan": "atan(u)", "sinh": "sinh(u)", "cosh": "cosh(u)", "tanh": "tanh(u)", "asinh": "asinh(u)", "exp": "exp(u)", "exp2": "pow(2, u)", "expm1": "exp(u) - 1", "log": "ln(u)", "log2": "log2(u)", "log10": "log10(u)", "log1p": "ln(1 + u)", "abs": "abs(u)", "ceil": "ceil(u)", "floor": "floor(u)", "round": "round(u)", "trunc": "trunc(u)", "fract": "u - trunc(u)", "signum": "CAST(sign(u) AS DOUBLE)", "recip": "1 / u", "sigmoid": "1 / (1 + exp(-u))"}
@@ -112,14 +117,14 @@ def is_prime_integer(spark, sf_dir):
 
 @_query("SELECT count(*) AS count, round(avg(x), 4) AS mean, round(var_samp(x), 1) AS variance, round(stddev_samp(x), 4) AS std, round((avg(x*x*x) - 3*avg(x)*avg(x*x) + 2*pow(avg(x), 3)) / pow(var_pop(x), 1.5), 4) AS skewness, round(kurtosis_pop(x), 4) AS kurtosis FROM (SELECT l_extendedprice / 1000 AS x FROM lineitem)")
 def describe(spark, sf_dir):
-    m = reduce.moments(X / 1000)
+    m = reduce.moments(_price() / 1000)
     return _t(spark, sf_dir, "lineitem").agg(*[(c if k == "count" else r(c, 1 if k == "variance" else 4)).alias(k) for k, c in m.items()])
 
 
 @_query("SELECT round(sum(l_quantity), 2) AS total, round(avg(l_tax), 8) AS mean, min(l_extendedprice) AS least, max(l_extendedprice) AS most, round(var_samp(l_tax), 8) AS var, round(var_pop(l_tax), 8) AS pvar, round(stddev_samp(l_tax), 8) AS sd, round(stddev_pop(l_tax), 8) AS psd FROM lineitem")
 def reductions(spark, sf_dir):
     t = F.col("l_tax")
-    return _t(spark, sf_dir, "lineitem").agg(r(reduce.total(F.col("l_quantity")), 2).alias("total"), r(reduce.mean(t), 8).alias("mean"), reduce.least(X).alias("least"), reduce.most(X).alias("most"), r(reduce.variance(t), 8).alias("var"), r(reduce.pop_variance(t), 8).alias("pvar"), r(reduce.std_dev(t), 8).alias("sd"), r(reduce.pop_std_dev(t), 8).alias("psd"))
+    return _t(spark, sf_dir, "lineitem").agg(r(reduce.total(F.col("l_quantity")), 2).alias("total"), r(reduce.mean(t), 8).alias("mean"), reduce.least(_price()).alias("least"), reduce.most(_price()).alias("most"), r(reduce.variance(t), 8).alias("var"), r(reduce.pop_variance(t), 8).alias("pvar"), r(reduce.std_dev(t), 8).alias("sd"), r(reduce.pop_std_dev(t), 8).alias("psd"))
 
 
 @_query("SELECT 0.0::DOUBLE AS total, 1.0::DOUBLE AS prod, CAST(-1 AS BIGINT) AS argmin, true AS no_mean, true AS no_min, true AS all_of_none, false AS any_of_none")
@@ -215,7 +220,7 @@ def correlation_matrix(spark, sf_dir):
 @_query("SELECT round(covar_samp(l_quantity, l_extendedprice), 1) AS cov, round(corr(l_quantity, l_extendedprice), 6) AS r, 0.0::DOUBLE AS r_constant FROM lineitem")
 def covariance(spark, sf_dir):
     q = F.col("l_quantity")
-    return _t(spark, sf_dir, "lineitem").agg(r(stats.covariance(q, X), 1).alias("cov"), r(stats.correlation(q, X)).alias("r"), stats.correlation(q, F.lit(1.0)).alias("r_constant"))
+    return _t(spark, sf_dir, "lineitem").agg(r(stats.covariance(q, _price()), 1).alias("cov"), r(stats.correlation(q, _price())).alias("r"), stats.correlation(q, F.lit(1.0)).alias("r_constant"))
 
 
 @_query("SELECT round(corr(rx, ry), 6) AS rho FROM (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS rx, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0 AS ry FROM lineitem)")
@@ -238,7 +243,7 @@ def anova_oneway(spark, sf_dir):
 
 @_query("SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r_squared FROM lineitem GROUP BY l_returnflag")
 def linear_regression(spark, sf_dir):
-    f = stats.linear_regression(F.col("l_quantity"), X)
+    f = stats.linear_regression(F.col("l_quantity"), _price())
     return _t(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(r(f["slope"], 4).alias("slope"), r(f["intercept"], 3).alias("intercept"), r(f["r_squared"]).alias("r_squared"))
 
 
@@ -363,7 +368,7 @@ def row_normalisations(spark, sf_dir):
 
 @_query("SELECT round(avg((p - t) * (p - t)), 6) AS mse, round(avg(abs(p - t)), 6) AS mae, round(avg(CASE WHEN abs(p - t) <= 0.03 THEN 0.5 * (p - t) * (p - t) ELSE 0.03 * (abs(p - t) - 0.015) END), 8) AS huber, round(avg(-(y * ln(q) + (1 - y) * ln(1 - q))), 6) AS bce FROM (SELECT l_discount AS p, l_tax AS t, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y, least(greatest(l_discount * 5, 1e-15), 1 - 1e-15) AS q FROM lineitem)")
 def losses(spark, sf_dir):
-    p, t = D, F.col("l_tax")
+    p, t = _discount(), F.col("l_tax")
     y = F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0)
     return _t(spark, sf_dir, "lineitem").agg(r(F.avg(nn.LOSSES["mse"](p, t))).alias("mse"), r(F.avg(nn.LOSSES["mae"](p, t))).alias("mae"), r(F.avg(nn.huber(p, t, 0.03)), 8).alias("huber"), r(F.avg(nn.bce(p * 5, y))).alias("bce"))
 
