@@ -155,8 +155,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone = gone.unionByName(_verified(rest, plain, codes)).distinct().withColumn("gone", F.lit(True))
     verdict = firsts.select("s1", "bm", at.alias("least")).join(gone, ["s1", "bm"], "left")
     removed = lines.select("_id", "no", "th", "s1", "bm").join(verdict, ["s1", "bm"]).filter((at != F.col("least")) | F.col("gone"))
-    lost = removed.groupBy("_id", "th").agg(F.sort_array(F.collect_set("no")).alias("_lost")).withColumnRenamed("_id", "_lid")
-    keyed = whole.withColumn("_th", F.xxhash64(F.col(text_col).cast("string"))).withColumn("n_lines", F.coalesce(F.size(F.split(F.col(text_col).cast("string"), "\n", -1)), F.lit(0)).cast("long"))
-    out = keyed.join(lost, F.col(id_col).eqNullSafe(F.col("_lid")) & (F.col("_th") == F.col("th")), "left").withColumn("removed_lines", F.coalesce("_lost", F.array().cast("array<int>")))
+    lost = removed.groupBy("_id", "th").agg(F.sort_array(F.collect_set("no")).alias("__lost")).withColumnsRenamed({"_id": "__lid", "th": "__lth"})
+    keyed = whole.withColumn("__th", F.xxhash64(F.col(text_col).cast("string"))).withColumn("n_lines", F.coalesce(F.size(F.split(F.col(text_col).cast("string"), "\n", -1)), F.lit(0)).cast("long"))
+    out = keyed.join(lost, F.col(id_col).eqNullSafe(F.col("__lid")) & (F.col("__th") == F.col("__lth")), "left").withColumn("removed_lines", F.coalesce("__lost", F.array().cast("array<int>")))
     kept = F.filter(F.split(F.col(text_col).cast("string"), "\n", -1), lambda x, k: ~F.array_contains("removed_lines", k))
-    return out.withColumn("clean_text", F.when(F.col(text_col).isNotNull(), F.array_join(kept, "\n"))).drop("_th", "th", "_lid", "_lost")
+    return out.withColumn("clean_text", F.when(F.col(text_col).isNotNull(), F.array_join(kept, "\n"))).drop("__th", "__lth", "__lid", "__lost")

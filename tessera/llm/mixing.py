@@ -112,7 +112,7 @@ def mixed_texts(docs: DataFrame, mixture: DataFrame, id_col: str = "doc_id", tex
     which nothing is taken go.  Pieces are cut where words start, so a text taken once as a whole is unchanged.
     Ids are taken to be unique here; n_chars, where there is one, is counted anew."""
     small_batches(docs.sparkSession)
-    joined = docs.join(mixture.filter("taken > 0").select(F.col("doc_id").alias("_id"), F.col("pieces").alias("_pieces")), F.col(id_col).eqNullSafe(F.col("_id"))).drop("_id")
+    joined = docs.join(mixture.filter("taken > 0").select(F.col("doc_id").alias("__id"), F.col("pieces").alias("__pieces")), F.col(id_col).eqNullSafe(F.col("__id"))).drop("__id")
     out = docs.schema
 
     def build(batches):
@@ -122,7 +122,7 @@ def mixed_texts(docs: DataFrame, mixture: DataFrame, id_col: str = "doc_id", tex
             text = batch.column(batch.schema.get_field_index(text_col))
             data, offsets = column_bytes(text)
             new = []
-            for k, ((_, starts, _e), pieces) in enumerate(zip(hashed_words(data, offsets), batch.column(batch.schema.get_field_index("_pieces")).to_pylist(), strict=True)):
+            for k, ((_, starts, _e), pieces) in enumerate(zip(hashed_words(data, offsets), batch.column(batch.schema.get_field_index("__pieces")).to_pylist(), strict=True)):
                 lo, hi = int(offsets[k]), int(offsets[k + 1])
                 cut_at = lambda w: lo if w == 0 else hi if w >= len(starts) else int(starts[w])  # noqa: E731, B023
                 got = []

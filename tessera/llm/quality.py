@@ -51,7 +51,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> dict:
             got = list(_text_terms(batch.column(2)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t.astype(np.int16).tobytes() for t, _ in got], pa.binary()), pa.array([w.astype(np.float32).tobytes() for _, w in got], pa.binary())], ["doc_id", "quality", "t", "w"])
 
-    rows = docs.join(chosen, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), "text").mapInArrow(terms, "doc_id bigint, quality int, t binary, w binary").collect()
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), "text").mapInArrow(terms, "doc_id bigint, quality int, t binary, w binary").collect()
     rows.sort(key=lambda r: (r.doc_id, r.quality))
     if not rows:
         return {"idf": np.ones(DIMENSIONS, np.float32), "axes": np.zeros((DIMENSIONS, 1), np.float32), "vectors": np.zeros((0, 1), np.float32), "votes": np.zeros(0, np.float32), "prior": 0.5}

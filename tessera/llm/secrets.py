@@ -102,15 +102,15 @@ def _named(rank: int, kind: str):
 
 
 def candidates(docs: DataFrame, rules, text_col: str) -> DataFrame:
-    """(_key, _rules): for every document on the postings of a conjunction, the kinds to verify.  docs has _key."""
+    """(__key, __rules): for every document on the postings of a conjunction, the kinds to verify.  docs has __key."""
     asked = [(r.kind, i, g, len(c)) for r in rules for i, c in enumerate(trigram_query(r.pattern)) for g in sorted(c)]
     grams = sorted({g for _, _, g, _ in asked})
-    low = docs.select("_key", F.lower(text_col).alias("_t"))
-    postings = low.select("_key", F.explode(F.array_compact(F.array(*[F.when(F.contains("_t", F.lit(g)), F.lit(g)) for g in grams]))).alias("gram"))
+    low = docs.select("__key", F.lower(text_col).alias("_t"))
+    postings = low.select("__key", F.explode(F.array_compact(F.array(*[F.when(F.contains("_t", F.lit(g)), F.lit(g)) for g in grams]))).alias("gram"))
     # One row for each trigram of a rule's query: the size is that of the rules, not of the data.
     query = F.broadcast(docs.sparkSession.createDataFrame(asked, "kind string, conj int, gram string, need int"))
-    met = postings.join(query, "gram").groupBy("_key", "kind", "conj", "need").agg(F.count("*").alias("n")).filter("n >= need")
-    return met.groupBy("_key").agg(F.collect_set("kind").alias("_rules"))
+    met = postings.join(query, "gram").groupBy("__key", "kind", "conj", "need").agg(F.count("*").alias("n")).filter("n >= need")
+    return met.groupBy("__key").agg(F.collect_set("kind").alias("__rules"))
 
 
 def scan(docs: DataFrame, rules=BASE + MORE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -119,14 +119,14 @@ def scan(docs: DataFrame, rules=BASE + MORE, id_col: str = "doc_id", text_col: s
     Null and empty texts hold none.  Rows are matched to the index by a hash of id and text, so repeated rows, repeated
     and null ids are each scanned.  A column named secrets is replaced.
     """
-    keyed = docs.drop("secrets").withColumn("_key", F.xxhash64(id_col, text_col))
+    keyed = docs.drop("secrets").withColumn("__key", F.xxhash64(id_col, text_col))
     indexed = [r for r in rules if trigram_query(r.pattern)]
     found = cut(candidates(keyed, indexed, text_col), "secret-candidates")
-    joined = keyed.join(found, "_key", "left").withColumn("_rules", F.coalesce("_rules", F.array().cast("array<string>")))
+    joined = keyed.join(found, "__key", "left").withColumn("__rules", F.coalesce("__rules", F.array().cast("array<string>")))
     text, none = F.coalesce(F.col(text_col), F.lit("")), F.expr("cast(array() as array<struct<start:int,end:int>>)")
     each = []
     for rank, r in enumerate(rules):
-        here = F.array_contains("_rules", r.kind) if r in indexed else text.rlike(r.pattern)
+        here = F.array_contains("__rules", r.kind) if r in indexed else text.rlike(r.pattern)
         spans = F.when(here, _found(text, r)).otherwise(none)
         each.append(F.transform(spans, _named(rank, r.kind)))
-    return joined.withColumn("secrets", F.array_sort(reduce(F.concat, each) if len(each) > 1 else each[0])).drop("_key", "_rules")
+    return joined.withColumn("secrets", F.array_sort(reduce(F.concat, each) if len(each) > 1 else each[0])).drop("__key", "__rules")

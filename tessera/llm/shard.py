@@ -27,8 +27,8 @@ def shard(docs: DataFrame, shards: int = 24, seed: int = 17, id_col: str = "doc_
     spark = docs.sparkSession
     rest = [c for c in docs.columns if c not in ("shard", "slot")]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(*rest, F.xxhash64(F.lit(seed), F.col(id_col), F.crc32(F.encode(text, "UTF-8")), F.octet_length(text)).alias("_h"))
-    counts = {r[0]: r[1] for r in keyed.groupBy(F.pmod("_h", F.lit(MOST_BLOCKS)).alias("b")).count().collect()}
+    keyed = docs.select(*rest, F.xxhash64(F.lit(seed), F.col(id_col), F.crc32(F.encode(text, "UTF-8")), F.octet_length(text)).alias("__shard_h"))
+    counts = {r[0]: r[1] for r in keyed.groupBy(F.pmod("__shard_h", F.lit(MOST_BLOCKS)).alias("b")).count().collect()}
     total = sum(counts.values())
     blocks = min(MOST_BLOCKS, max(64, 1 << (total // BLOCK_ROWS).bit_length()))
     fine = min(MOST_FINE, -(-max(total, 1) // shards // FINE_ROWS) or 1)
@@ -47,11 +47,11 @@ def shard(docs: DataFrame, shards: int = 24, seed: int = 17, id_col: str = "doc_
         rows.append((b, ends, inner))
     first = [[sum(parts[s * fine : s * fine + f]) for f in range(fine)] for s in range(shards)]
     # At most MOST_BLOCKS rows of shards * MOST_FINE counts, whatever the input's size.
-    matrix = F.broadcast(spark.createDataFrame(rows, "_b int, _ends array<bigint>, _inner array<array<bigint>>"))
+    matrix = F.broadcast(spark.createDataFrame(rows, "__shard_b int, __shard_ends array<bigint>, __shard_inner array<array<bigint>>"))
     starts = F.array(*[F.array(*map(F.lit, x)) for x in first])
-    order = lambda salt: [F.xxhash64(F.lit(seed + salt), "_h"), "_h"]
-    local = keyed.withColumn("_b", F.pmod("_h", F.lit(blocks)).cast("int")).withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(*order(1))) - 1)
-    below = lambda cuts: F.size(F.filter(cuts, lambda c: c <= F.col("_r")))
-    dealt = local.join(matrix, "_b").withColumn("shard", below(F.col("_ends")).cast("int")).withColumn("_f", below(F.get("_inner", F.col("shard"))))
-    again = dealt.withColumn("_k", F.row_number().over(Window.partitionBy("shard", "_f").orderBy(*order(2), "_b", "_r")) - 1)
-    return again.select(*rest, "shard", (F.get(F.get(starts, F.col("shard")), F.col("_f")) + F.col("_k")).cast("long").alias("slot"))
+    order = lambda salt: [F.xxhash64(F.lit(seed + salt), "__shard_h"), "__shard_h"]
+    local = keyed.withColumn("__shard_b", F.pmod("__shard_h", F.lit(blocks)).cast("int")).withColumn("__shard_r", F.row_number().over(Window.partitionBy("__shard_b").orderBy(*order(1))) - 1)
+    below = lambda cuts: F.size(F.filter(cuts, lambda c: c <= F.col("__shard_r")))
+    dealt = local.join(matrix, "__shard_b").withColumn("shard", below(F.col("__shard_ends")).cast("int")).withColumn("__shard_f", below(F.get("__shard_inner", F.col("shard"))))
+    again = dealt.withColumn("__shard_k", F.row_number().over(Window.partitionBy("shard", "__shard_f").orderBy(*order(2), "__shard_b", "__shard_r")) - 1)
+    return again.select(*rest, "shard", (F.get(F.get(starts, F.col("shard")), F.col("__shard_f")) + F.col("__shard_k")).cast("long").alias("slot"))
