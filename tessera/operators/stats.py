@@ -1,8 +1,10 @@
 """Inferential statistics and regression as aggregates."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import ordered
+
 
 def _guarded(num, den) -> Column:
     return F.when(den > 0, num / F.when(den > 0, den)).otherwise(0.0)
@@ -30,10 +32,10 @@ def linear_regression(x, y) -> dict[str, Column]:
 
 
 def average_ranks(df: DataFrame, x: str, out: str) -> DataFrame:
-    """df with 0-based ranks of x, ties sharing their mean rank.  Ranks come from counts of distinct values."""
-    counts = df.groupBy(x).count()
-    before = Window.orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn(out, F.coalesce(F.sum("count").over(before), F.lit(0)) + (F.col("count") - 1) / 2).select(F.col(x).alias("_v"), out)
+    """df with 0-based ranks of x, ties sharing their mean rank.  Ranks come from running
+    counts of the distinct values, in two levels."""
+    counts = ordered.with_index(df.groupBy(F.col(x).alias("_v")).count(), "_v", name="_i")
+    ranks = ordered.cumsum(counts, "count", "_upto", "_i").select("_v", (F.col("_upto") - F.col("count") + (F.col("count") - 1) / 2).alias(out))
     return df.join(ranks, F.col(x) == F.col("_v")).drop("_v")
 
 
