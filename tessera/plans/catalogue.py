@@ -415,9 +415,9 @@ def convolve_valid(spark, sf_dir):
     return signal.convolve(_events(spark, sf_dir), _KERNEL, "valid").select("idx", r("x", 5).alias("x"))
 
 
-@_query("SELECT round(sum((t1 - t0) * (x0 + x1) / 2), 3) AS area FROM (SELECT event_id * 0.5 AS t0, value AS x0, lead(event_id * 0.5) OVER (ORDER BY event_id) AS t1, lead(value) OVER (ORDER BY event_id) AS x1 FROM events)")
+@_query("SELECT round(sum((t1 - t0) * (x0 + x1) / 2), 4) AS area FROM (SELECT event_id * 0.5 AS t0, value AS x0, lead(event_id * 0.5) OVER (ORDER BY event_id) AS t1, lead(value) OVER (ORDER BY event_id) AS x1 FROM events)")
 def trapezoid(spark, sf_dir):
-    return ordered.trapezoid(_events(spark, sf_dir).withColumn("t", F.col("event_id") * 0.5), "t", "x").select(r("area", 3).alias("area"))
+    return ordered.trapezoid(_events(spark, sf_dir).withColumn("t", F.col("event_id") * 0.5), "t", "x").select(r("area", 4).alias("area"))
 
 
 @_query("WITH s AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS i, value AS x, count(*) OVER () AS n FROM events), m AS (SELECT *, CASE WHEN n % 2 = 0 THEN n - 2 ELSE n - 1 END AS m FROM s) SELECT round(sum(x * (CASE WHEN i > m THEN 0 WHEN i = 0 OR i = m THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * 0.5 / 3 + CASE WHEN n % 2 = 0 AND i >= n - 2 THEN 0.25 ELSE 0 END)), 3) AS area FROM m")
