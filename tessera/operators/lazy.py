@@ -97,3 +97,13 @@ def loop_range(start: float, stop: float | None = None, step: float = 1.0) -> La
 
 def from_list(data) -> LazyPipeline:
     return LazyPipeline(Vector(data))
+
+
+def zeros(n: int) -> LazyPipeline:
+    return LazyPipeline(Vector.zeros(n))
+
+
+def linspace(start: float, stop: float, n: int) -> LazyPipeline:
+    if n <= 0:
+        raise ValueError("n must be positive")
+    return LazyPipeline(Vector.linspace(start, stop, n))

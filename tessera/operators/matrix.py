@@ -275,6 +275,51 @@ class Array:
 
     lazy = copy
 
+    # Files (see tessera.sources.files)
+    def save(self, path: str) -> None:
+        from tessera.sources import files
+
+        files.save(self, path)
+
+    def save_bin(self, path: str) -> None:
+        from tessera.sources import files
+
+        files.save_bin(self, path)
+
+    def save_csv(self, path: str, header=None) -> None:
+        from tessera.sources import files
+
+        files.write_csv(self, path, header)
+
+    def save_safetensors(self, path: str, key: str) -> None:
+        from tessera.sources import files
+
+        files.save_safetensors(self, path, key)
+
+    @staticmethod
+    def load(path: str) -> Array:
+        from tessera.sources import files
+
+        return files.load(_spark(), path)
+
+    @staticmethod
+    def load_csv(path: str) -> Array:
+        from tessera.sources import files
+
+        return files.read_csv(_spark(), path)[0]
+
+    @staticmethod
+    def load_csv_with_header(path: str) -> tuple[Array, list[str]]:
+        from tessera.sources import files
+
+        return files.read_csv(_spark(), path, header=True)
+
+    @staticmethod
+    def load_safetensors(path: str, key: str) -> Array:
+        from tessera.sources import files
+
+        return files.load_safetensors(_spark(), path, key)
+
     def __repr__(self) -> str:
         return f"Array(shape={self.shape}, first rows={[list(r.v)[:6] for r in self.df.orderBy('row_id').limit(3).collect()]})"
 

@@ -110,6 +110,12 @@ class Vector:
     def __array__(self, dtype=None, copy=None):
         return self.to_numpy().astype(dtype or float)
 
+    def into_array(self):
+        """A matrix of one row."""
+        from tessera.operators.matrix import Array
+
+        return Array([self.to_list()])
+
     def __iter__(self):
         return (r.x for r in self.df.orderBy("idx").toLocalIterator())
 

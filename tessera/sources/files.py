@@ -190,6 +190,16 @@ class LazyArray:
         return f"LazyArray({self.path!r}, {len(self._steps)} steps)"
 
 
+class MmapArray(LazyArray):
+    """A raw file of doubles of a given shape, read by ranges of rows."""
+
+    @classmethod
+    def mmap(cls, spark: SparkSession, path: str, rows: int, cols: int) -> "MmapArray":
+        if os.path.getsize(path) < 8 * rows * cols:
+            raise ValueError("the file is shorter than its shape")
+        return cls(spark, path, [rows, cols])
+
+
 def table(a: Array, names=None) -> DataFrame:
     """The matrix as a table of one column a matrix column."""
     return a.df.select("row_id", *[F.get("v", F.lit(i)).alias(n) for i, n in enumerate(names or [f"c{i}" for i in range(a.ncols)])])
