@@ -68,6 +68,15 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op3_minhash_neardup, op4_license_scan, op5_decontamination, op6_sharding, op7_mixing, op8_quality_rules, op9_quality_classifier, op10_chat_format)}
 _WORDS = r"[^\x20\x09-\x0D]+"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _secret_sql(rank: int, rule: secrets.Rule) -> str:
+    """(row, kind, rank, i, gaps, got, kept): a row for each match of a rule, with the texts between and of all matches."""
+    p = "'" + rule.pattern.replace("'", "''") + "'"
+    found = f"SELECT row, string_split_regex(t, {p}) AS gaps, regexp_extract_all(t, {p}) AS got, regexp_extract_all(t, {p}, {rule.group}) AS kept FROM one WHERE regexp_matches(t, {p})"
+    return f"SELECT row, '{rule.kind}' AS kind, {rank} AS rank, unnest(range(1, len(got) + 1)) AS i, {rule.least} AS least, gaps, got, kept FROM ({found})"
+
 
 SQL: dict[str, str] = {
     "op1_line_dedup": rf"""
@@ -93,6 +102,50 @@ WITH line AS (
 )
 SELECT d.doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(k, 0) AS BIGINT) AS n_removed, coalesce(nos, '') AS removed_lines
 FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS k, string_agg(no, ',' ORDER BY no) AS nos FROM removed GROUP BY doc_id) r ON r.doc_id = d.doc_id""",
+    "op2_secret_scan": f"""
+WITH one AS (
+  SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS row FROM documents
+), met AS (
+  {" UNION ALL ".join(_secret_sql(k, r) for k, r in enumerate(secrets.BASE + secrets.MORE))}
+), span AS (
+  SELECT row, kind, rank, length(array_to_string(gaps[1:i], '')) + length(array_to_string(got[1:i - 1], '')) AS a, length(got[i]) AS n FROM met WHERE length(kept[i]) >= least
+), line AS (
+  SELECT row, kind, rank, a, a + n AS b, kind || ':' || a || ':' || (a + n) AS x FROM span
+)
+SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  sha256(coalesce(string_agg(x, ',' ORDER BY a, rank, b) FILTER (rank < {len(secrets.BASE)}), '')) AS base_sha256, coalesce(string_agg(x, ',' ORDER BY a, rank, b), '') AS spans
+FROM one LEFT JOIN line USING (row) GROUP BY row, doc_id""",
+    "op3_minhash_neardup": rf"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORDS}') AS w FROM documents
+), word AS (
+  SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM doc WHERE len(w) >= 4
+), gram AS (
+  SELECT doc_id, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o AS g FROM word WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM doc WHERE len(w) BETWEEN 1 AND 3
+), sets AS (
+  SELECT doc_id, list_sort(list(DISTINCT g)) AS s FROM gram WHERE g IS NOT NULL GROUP BY doc_id
+), one AS (
+  SELECT s, len(s) AS n, min(doc_id) AS id FROM sets GROUP BY s
+), token AS (
+  SELECT id, n, unnest(s) AS t FROM one
+), ranked AS (
+  SELECT id, n, t, row_number() OVER (PARTITION BY id ORDER BY df, t) AS i FROM token JOIN (SELECT t, count(*) AS df FROM token GROUP BY t) USING (t)
+), prefix AS (
+  SELECT * FROM ranked WHERE i <= n - (4 * n + 4) // 5 + 1
+), pair AS (
+  SELECT DISTINCT a.id AS a, b.id AS b FROM prefix a JOIN prefix b ON a.t = b.t AND a.id < b.id AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n
+), link AS (
+  SELECT a, b FROM pair JOIN one x ON x.id = a JOIN one y ON y.id = b WHERE 100 * len(list_intersect(x.s, y.s)) >= 80 * (x.n + y.n - len(list_intersect(x.s, y.s)))
+), edge AS (
+  SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+), reach AS (
+  SELECT id AS node, id AS r FROM one UNION SELECT node, b FROM reach JOIN edge ON a = r
+), class AS (
+  SELECT s, n, c FROM one JOIN (SELECT node, min(r) AS c FROM reach GROUP BY node) ON node = id
+)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(c, d.doc_id) AS component_id, coalesce(c, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN sets ON sets.doc_id = d.doc_id LEFT JOIN class ON class.s = sets.s""",
     "op10_chat_format": r"""
 WITH rows AS (
   SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
