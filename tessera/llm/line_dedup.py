@@ -14,23 +14,34 @@ Rarity is looked up in a fixed number of counts by hash of the word (BUCKETS), o
 are ordered by hash, so the order is total and the same everywhere, and only a bounded table leaves the aggregation.
 """
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import constant_array, cut, passing
 
-BUCKETS, MIDDLE, BEFORE, LONG, SPACES = 1 << 16, 4, 3, 96, r"[\x20\x09-\x0D]+"
+BUCKETS, MIDDLE, BEFORE, LONG = 1 << 16, 4, 3, 96
+#: White space besides the space and the line feed.
+OTHER = "\t\x0b\x0c\r"
 LOW = (1 << 54) - 1
 MAPS = ("bm", "q1", "q2", "q3")
 
 
-def _words(text) -> F.Column:
-    return F.array_remove(F.split(text, SPACES), "")
+def _spaced(text) -> F.Column:
+    """text with a space for OTHER; most texts have none and are only searched."""
+    some = reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in OTHER])
+    return F.when(some, F.translate(text, OTHER, " " * len(OTHER))).otherwise(text)
+
+
+def _words(spaced) -> F.Column:
+    """The words of a text in which all white space is spaces: a split at one character needs no regular expression."""
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def rarity(docs: DataFrame) -> F.Column:
     """The array of codes, by bucket, that order words from rare to common."""
-    counts = docs.select(F.explode(_words(F.col("_text"))).alias("w")).groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).agg((F.log2(F.count("*") + 1) * 8).cast("int").alias("code"))
+    counts = docs.select(F.explode(_words(F.replace(_spaced(F.col("_text")), F.lit("\n"), F.lit(" ")))).alias("w")).groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).agg((F.log2(F.count("*") + 1) * 8).cast("int").alias("code"))
     found = {r.b: r.code for r in counts.collect()}  # BUCKETS rows at most
     return constant_array([found.get(b, 0) << 54 for b in range(BUCKETS)])
 
@@ -38,12 +49,12 @@ def rarity(docs: DataFrame) -> F.Column:
 def _ids(line, codes) -> F.Column:
     """The sorted distinct words of a line as longs: 9 bits of rarity code, then 54 of hash."""
     hashes = F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
-    code = lambda h: F.coalesce(F.get(codes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0).cast("long"))
+    code = lambda h: F.get(codes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
     return F.sort_array(F.transform(hashes, lambda h: code(h).bitwiseOR(h.bitwiseAND(F.lit(LOW)))))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select("_id", F.xxhash64("_text").alias("th"), F.posexplode(F.split("_text", "\n", -1)).alias("no", "line"))
+    return docs.select("_id", F.xxhash64("_text").alias("th"), F.posexplode(F.split(_spaced(F.col("_text")), "\n", -1)).alias("no", "line"))
 
 
 def _identified(lines: DataFrame, codes) -> DataFrame:
