@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import constant_array, cut, passing
+from tessera.llm.common import constant_array, cut, passing, release
 
 BUCKETS, MIDDLE, BEFORE, LONG = 1 << 16, 4, 3, 96
 #: White space besides the space and the line feed.
@@ -146,6 +146,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # The least struct is the earliest place; what follows it comes along.
     least = lines.groupBy("s1", "bm").agg(F.min(F.struct("_id", "no", "n", "q1", "q2", "q3", "prefix")).alias("f"))
     firsts = cut(least.select("s1", "bm", "f.*"), "line-firsts")
+    release(docs.sparkSession)
     crowd = firsts.filter("n >= 4")
     by = Window.partitionBy("tok").orderBy("b")
     leaders = F.array(F.first("b").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)), *[F.lag("b", k).over(by) for k in range(1, BEFORE + 1)])
@@ -153,6 +154,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     star = star.filter((F.struct("a._id", "a.no") < F.struct("b._id", "b.no")) & _may_match(lambda c: F.col(f"b.{c}"), lambda c: F.col(f"a.{c}")))
     star = cut(_pairs(star), "line-star")
     gone = cut(_verified(star, plain, codes), "line-gone-1")
+    release(docs.sparkSession)
     # In a pair, the smaller set's first common word is among its first n / 9 + 1 words; only the larger set's whole prefix counts.
     marked = _marked(crowd, gone)
     small = _flat(marked, "x", F.slice("prefix", 1, F.floor(F.col("n") / 9).cast("int") + 1))
@@ -163,6 +165,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     pair = lambda p: F.struct(F.col(f"{p}id").alias("_id"), F.col(f"{p}no").alias("no"))
     met = met.select(F.when(x < y, pair("x")).otherwise(pair("y")).alias("a"), F.when(x < y, pair("y")).otherwise(pair("x")).alias("b"))
     rest = cut(met.distinct().join(star, ["a", "b"], "left_anti"), "line-rest")
+    release(docs.sparkSession)
     gone = gone.unionByName(_verified(rest, plain, codes)).distinct().withColumn("gone", F.lit(True))
     verdict = firsts.select("s1", "bm", at.alias("least")).join(gone, ["s1", "bm"], "left")
     removed = lines.select("_id", "no", "th", "s1", "bm").join(verdict, ["s1", "bm"]).filter((at != F.col("least")) | F.col("gone"))
