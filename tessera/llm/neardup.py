@@ -6,10 +6,14 @@ prefix first, and the first node of every region (run of equal prefixes) at each
 region, the deeper the prefix that its neighbours share, and the number of candidates stays linear in its size.  Every
 link is confirmed on the full shingle sets.  Confirmation runs in two rounds: each node's likeliest candidate first, and
 then those candidates that components do not join already, which gives the components of all confirmed candidates.
+
+A region at depth LEAST of more nodes than neighbours cover is a crowd.  In a third round every pair of a crowd that
+components do not join already is compared on the full sets, in blocks of chunks of the crowd, so the result is the
+components of all pairs that share a region, whatever the number of partitions.
 """
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import column_bytes, cut, hashed_words, mix64, passing, shingles, small_batches
@@ -17,6 +21,8 @@ from tessera.llm.common import column_bytes, cut, hashed_words, mix64, passing,
 TREES, DEPTH, LEAST, NEAR = 16, 8, 4, 3
 #: Of 128 one-bit labels, how many must agree for a candidate: five standard deviations below what a similarity of 0.8 gives.
 AGREE = 98
+#: A chunk of a crowd holds about CHUNK shingles, a node counting as SMALL at least: 1024 nodes at most.
+CHUNK, SMALL = 1 << 19, 1 << 9
 
 
 def fingerprint(u: np.ndarray) -> bytes:
@@ -66,10 +72,11 @@ def _prefix_lengths(labels: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.maximum(depth, 0)])
 
 
-def forest_candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b, agree) with a < b: candidate pairs of fps, each once, and how many one-bit labels agree."""
+def forest_candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b, agree) with a < b: candidate pairs of fps, each once, and how many one-bit labels agree; and (key, fp): the
+    nodes of every crowd, a region at depth LEAST in which neighbours do not cover all pairs."""
     spark = nodes.sparkSession
-    width = 4 * DEPTH
+    width, root = 4 * DEPTH, 1 + 4 * LEAST
 
     def plant(batches):
         import pyarrow as pa
@@ -83,23 +90,31 @@ def forest_candidates(nodes: DataFrame) -> DataFrame:
     def walk(batches):
         import pyarrow as pa
 
-        last, lead, first_row, tail = [], {}, None, None
+        # told: how many nodes of the region have been seen; held: those of a region that may yet become a crowd.
+        last, lead, region, told, held = [], {}, None, 0, []
 
         def take(batch):
-            nonlocal first_row, tail
+            nonlocal region, told, held
             keys, fps, bits = (batch.column(i).to_pylist() for i in range(3))
             labels = np.empty((len(keys) + len(last), DEPTH + 1), np.int64)
             whole = [r[0] for r in last] + keys
             flat = np.frombuffer(b"".join(x[1:] for x in whole), ">u4").reshape(len(whole), DEPTH)
             labels[:, 1:], labels[:, 0] = flat, [x[0] for x in whole]
             common = _prefix_lengths(labels)
-            pairs = []
+            pairs, crowd = [], []
             rows = list(zip(keys, fps, bits, strict=True))
             everything = last + rows
             base = len(last)
             for i, row in enumerate(rows):
                 here = base + i
                 c = int(common[here]) if here else 0
+                if row[0][:root] != region:
+                    region, told, held = row[0][:root], 0, []
+                told += 1
+                held.append(row[1])
+                if told > NEAR + 1:
+                    crowd.extend((region, f) for f in held)
+                    held = []
                 for d in range(LEAST, DEPTH + 1):
                     if c < d:
                         lead[d] = row
@@ -112,13 +127,9 @@ def forest_candidates(nodes: DataFrame) -> DataFrame:
                         shared = min(shared, int(common[here - back]))
                     pairs.extend((lead[d], row) for d in range(LEAST, c + 1) if d in lead)
             last[:] = everything[-NEAR - 1 :]
-            if first_row is None and rows:
-                first_row = rows[0]
-            if rows:
-                tail = rows[-1]
-            return pairs
+            return pairs, crowd
 
-        def out(pairs, edges=()):
+        def out(pairs, crowd):
             got = {}
             for x, y in pairs:
                 if x[1] != y[1]:
@@ -127,25 +138,23 @@ def forest_candidates(nodes: DataFrame) -> DataFrame:
             if got:
                 agree = 128 - np.unpackbits(np.frombuffer(b"".join(a for a, _ in got.values()), np.uint8) ^ np.frombuffer(b"".join(b for _, b in got.values()), np.uint8)).reshape(len(got), -1).sum(1)
             keep = [(k, int(n)) for k, n in zip(got, agree, strict=True) if n >= AGREE] if got else []
+            none = [None] * len(crowd)
             return pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k, _ in keep] + [e[1] for e in edges], pa.binary()), pa.array([k[1] for k, _ in keep] + [None for _ in edges], pa.binary()), pa.array([n for _, n in keep] + [None for _ in edges], pa.int32()), pa.array([None for _ in keep] + [e[0] for e in edges], pa.binary()), pa.array([None for _ in keep] + [e[2] for e in edges], pa.binary())],
-                ["a", "b", "agree", "key", "bits"],
+                [pa.array([k[0] for k, _ in keep] + [f for _, f in crowd], pa.binary()), pa.array([k[1] for k, _ in keep] + none, pa.binary()), pa.array([n for _, n in keep] + none, pa.int32()), pa.array([None] * len(keep) + [k for k, _ in crowd], pa.binary())],
+                ["a", "b", "agree", "key"],
             )
 
         for batch in batches:
             if batch.num_rows:
-                yield out(take(batch))
-        if tail is not None:
-            yield out([], [first_row, tail])
+                yield out(*take(batch))
 
     planted = nodes.select("fp", "sig").mapInArrow(plant, "key binary, fp binary, bits binary")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = planted.repartitionByRange(parts, "key", "fp").sortWithinPartitions("key", "fp")
-    found = cut(ordered.mapInArrow(walk, "a binary, b binary, agree int, key binary, bits binary"), "forest")
-    # The first and last row of every range meet across its borders: two rows a partition, whatever the input.
-    borders = found.filter("key is not null").select("key", F.col("a").alias("fp"), "bits").coalesce(1).sortWithinPartitions("key", "fp")
-    across = borders.mapInArrow(walk, "a binary, b binary, agree int, key binary, bits binary").filter("key is null")
-    return found.filter("key is null").unionByName(across).groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    # A region lies in one partition, so no pair depends on how many there are.
+    ordered = planted.repartition(parts, F.substring("key", 1, root)).sortWithinPartitions("key", "fp")
+    found = cut(ordered.mapInArrow(walk, "a binary, b binary, agree int, key binary"), "forest")
+    pairs = found.filter("key is null").groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    return pairs, found.filter("key is not null").select("key", F.col("a").alias("fp"))
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -191,6 +200,65 @@ def confirm(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(meet, "a binary, b binary")
 
 
+def joining(sets: list[np.ndarray], group: np.ndarray, rows: np.ndarray, columns: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs (row, column) at the threshold that join all groups which any such pair joins; each joins two groups."""
+    size, group, edges = np.array([len(u) for u in sets]), group.copy(), []
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, token, holders = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # Shingles of many holders are columns of a dense product, the others are counted along their postings.
+    thick = holders > max(len(columns) // 16, 1)
+    held = np.zeros((len(sets), int(thick.sum())), np.float32)
+    at = thick[token]
+    held[owner[at], (np.cumsum(thick) - 1)[token[at]]] = 1
+    thin = ~at & (holders > 1)[token]
+    owner, token = owner[thin], token[thin]
+    order = np.argsort(token, kind="stable")
+    posted, first = owner[order], np.searchsorted(token[order], np.arange(len(holders) + 1))
+    own, across = np.searchsorted(owner, np.arange(len(sets) + 1)), held[columns].T
+    for lo in range(0, len(rows), 256):
+        some = rows[lo : lo + 256]
+        for i, both in zip(some, (held[some] @ across).astype(np.int64), strict=True):
+            mine = token[own[i] : own[i + 1]]
+            if len(mine):
+                n = first[mine + 1] - first[mine]
+                both += np.bincount(posted[np.repeat(first[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(sets))[columns]
+            hit = columns[(100 * both >= percent * (size[i] + size[columns] - both)) & (group[columns] != group[i])]
+            if len(hit):
+                met, where = np.unique(group[hit], return_index=True)
+                edges.extend((int(i), int(j)) for j in hit[where])
+                group[np.isin(group, met)] = group[i]
+    return edges
+
+
+def crowd_links(crowds: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that join all labels which any confirmed pair of a crowd joins.  crowds: (key, fp, label, size)."""
+
+    def meet(table):
+        import pyarrow as pa
+
+        side, fps = np.array(table["side"]), table["fp"].to_pylist()
+        sets = [np.frombuffer(m.as_buffer(), np.uint64) for m in table["members"]]
+        _, group = np.unique(np.array([m.hex() for m in table["label"].to_pylist()]), return_inverse=True)
+        rows, columns = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(columns):
+            # A chunk with itself: every pair of two groups has a node outside the largest one.
+            rows, columns = np.flatnonzero(group != np.bincount(group).argmax()), np.arange(len(fps))
+        edges = joining(sets, group, rows, columns, percent) if len(rows) else []
+        return pa.table({"a": pa.array([fps[i] for i, _ in edges], pa.binary()), "b": pa.array([fps[j] for _, j in edges], pa.binary())})
+
+    # Nodes of one label stand together, so chunks of a large component meet no chunk of the same.
+    before = F.sum(F.greatest("size", F.lit(SMALL))).over(Window.partitionBy("key").orderBy("label", "fp")) - F.greatest("size", F.lit(SMALL))
+    placed = cut(crowds.withColumn("chunk", F.floor(before / CHUNK).cast("int")), "chunks")
+    chunks = cut(placed.groupBy("key", "chunk").agg(F.min("label").alias("lo"), F.max("label").alias("hi")), "chunk-ends")
+    x, y = (chunks.select("key", *[F.col(c).alias(f"{c}{k}") for c in ("chunk", "lo", "hi")]) for k in "xy")
+    blocks = x.join(y, "key").filter("chunkx <= chunky and not (lox = hix and loy = hiy and lox = loy)").select("key", "chunkx", "chunky")
+    blocks = cut(blocks, "blocks")
+    one = lambda c, side, some: placed.join(some, (placed["key"] == some["key"]) & (placed["chunk"] == some[c])).select(some["key"], "chunkx", "chunky", F.lit(side).alias("side"), "fp", "label")
+    both = one("chunkx", 0, blocks).unionByName(one("chunky", 1, blocks.filter("chunkx < chunky")))
+    filled = both.join(members.hint("merge"), "fp")
+    return filled.groupBy("key", "chunkx", "chunky").applyInArrow(meet, "a binary, b binary")
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, label): label is the smallest node of its component; only nodes with an edge.  edges: (a, b).
 
@@ -225,11 +293,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     """
     text = F.col(text_col).cast("string")
     rows = cut(signatures(docs, n, id_col, text_col), "signatures")
-    nodes = rows.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig"))
+    nodes = rows.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("size"), F.first("sig").alias("sig"))
     nodes = cut(nodes, "nodes")
-    pairs = cut(forest_candidates(nodes), "candidates")
+    pairs, crowds = forest_candidates(nodes)
+    pairs = cut(pairs, "candidates")
     holders = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    in_pairs = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    in_pairs = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).unionByName(crowds.select("fp")).distinct()
     members = shingle_sets(holders, nodes.select("fp", "least").join(in_pairs, "fp", "left_semi"), n)
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a")).select("a", "b")
     first = cut(confirm(best, members, percent), "links-1")
@@ -237,8 +306,16 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     named = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
     rest = pairs.join(best, ["a", "b"], "left_anti").join(named("a"), "a", "left").join(named("b"), "b", "left")
     rest = cut(rest.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"), "rest")
-    second = confirm(rest, members, percent)
+    second = cut(confirm(rest, members, percent), "links-2")
     label = components(first.unionByName(second))
+    placed = crowds.join(nodes.select("fp", "size"), "fp").join(label, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("label", "fp").alias("label"), "size")
+    placed = cut(placed, "crowds")
+    # Crowds of one label are settled, and trees with the same crowd need it once.
+    same = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("fp").cast("decimal(38,0)")).alias("mark")).filter("lo <> hi")
+    open_crowds = cut(same.groupBy("n", "mark").agg(F.min("key").alias("key")).select("key"), "open")
+    if not open_crowds.isEmpty():
+        third = cut(crowd_links(placed.join(open_crowds, "key", "left_semi"), members, percent), "links-3")
+        label = components(first.unionByName(second).unionByName(third))
     joined = cut(nodes.select("fp", "least").join(label, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label")), "labels")
     smallest = joined.groupBy("label").agg(F.min("least").alias("component"))
     members = joined.join(smallest, "label").select(F.col("fp").alias("_fp"), "component")
