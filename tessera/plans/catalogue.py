@@ -386,6 +386,13 @@ def dft_magnitudes(spark, sf_dir):
     return signal.magnitudes(signal.dft(_events(spark, sf_dir).filter("idx < 64"), 64)).select("k", r("mag", 4).alias("mag"))
 
 
+@_query()
+def spectrum(spark, sf_dir):
+    """The spectrum of the whole events series; a transform in SQL would take the square of its length."""
+    e = _events(spark, sf_dir)
+    return signal.magnitudes(signal.long_fft(e.select("idx", F.col("x").alias("re"), F.lit(0.0).alias("im")), e.count())).select(F.col("idx").alias("k"), "mag", "phase")
+
+
 @_query()
 def fft_by_user(spark, sf_dir):
     """The spectrum of every user's series."""
