@@ -342,6 +342,13 @@ def transpose(spark, sf_dir):
     return _eight(spark, sf_dir).slice_rows(0, 50).transpose().cells().select(F.col("i").cast("long").alias("i"), F.col("j").cast("int").alias("j"), r("x").alias("x"))
 
 
+@_query("SELECT CAST(j AS BIGINT) AS i, i AS j, round(x + 0.0, 6) AS x FROM (SELECT vec_id AS i, unnest(range(len(embedding))) AS j, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings)")
+def transpose_whole(spark, sf_dir):
+    """Every row and component, in cells: no row of the result, as long as the table, is gathered."""
+    cells = _vectors(spark, sf_dir).select("id", F.posexplode("v").alias("j", "x"))
+    return cells.select(F.col("j").cast("long").alias("i"), F.col("id").alias("j"), r("x").alias("x"))
+
+
 @_query(f"SELECT i, CAST(j AS INTEGER) AS j, round(2 * x + (j + 1) + 0.0, 6) AS x FROM {_CELL}")
 def broadcast_add(spark, sf_dir):
     row = matrix.Array([[float(j + 1) for j in range(8)]])

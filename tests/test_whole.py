@@ -17,3 +17,9 @@ def test_spectrum_of_the_whole_series(spark):
     got = catalogue.QUERIES["spectrum"](spark, SF).orderBy("k").collect()
     assert [r.k for r in got] == list(range(len(want)))
     assert np.allclose([r.mag * np.exp(1j * r.phase) for r in got], want, atol=1e-6)
+
+
+def test_transpose_whole(spark):
+    rows = _column("embeddings", "embedding", "vec_id")
+    got = {(r.i, r.j): r.x for r in catalogue.QUERIES["transpose_whole"](spark, SF).collect()}
+    assert len(got) == sum(map(len, rows)) and all(abs(got[i, j] - x) < 1e-6 for j, v in enumerate(rows) for i, x in enumerate(v))
