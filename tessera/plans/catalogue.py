@@ -1,5 +1,7 @@
 """The registered queries of the numeric engine, each with the SQL that must give the same rows."""
 
+import functools
+
 from pyspark.sql import functions as F
 
 from tessera.functions import distributions, ieee, nn, special
@@ -305,35 +307,55 @@ def nearest(spark, sf_dir):
 _CELL = "(SELECT vec_id AS i, unnest(range(8)) AS j, unnest(CAST(embedding[1:8] AS DOUBLE[])) AS x FROM embeddings)"
 
 
+_WIDE = "(SELECT vec_id AS i, unnest(range(len(embedding))) AS j, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings)"
+
+
 def _eight(spark, sf_dir):
     return matrix.Array(_vectors(spark, sf_dir).select(F.col("id").alias("row_id"), F.slice("v", 1, 8).alias("v")))
 
 
-@_query(f"SELECT CAST(a.j AS INTEGER) AS i, CAST(b.j AS INTEGER) AS j, round(sum(a.x * b.x) + 0.0, 4) AS x FROM {_CELL} a JOIN {_CELL} b USING (i) GROUP BY a.j, b.j")
-def gram(spark, sf_dir):
-    return _eight(spark, sf_dir).gram_matrix().cells().select(F.col("i").cast("int").alias("i"), "j", r("x", 4).alias("x"))
+def _wide(spark, sf_dir):
+    """The whole vectors."""
+    return matrix.Array(_vectors(spark, sf_dir).select(F.col("id").alias("row_id"), "v"))
+
+
+def _both(sql: str):
+    """Registers f on the first eight components, and as f_whole on all: f takes the rows as its last argument."""
+
+    def add(f):
+        for name, cell, rows in ((f.__name__, _CELL, _eight), (f"{f.__name__}_whole", _WIDE, _wide)):
+            QUERIES[name], SQL[name] = functools.partial(f, rows=rows), sql.replace(_CELL, cell)
+        return f
+
+    return add
+
+
+@_both(f"SELECT CAST(a.j AS INTEGER) AS i, CAST(b.j AS INTEGER) AS j, round(sum(a.x * b.x) + 0.0, 4) AS x FROM {_CELL} a JOIN {_CELL} b USING (i) GROUP BY a.j, b.j")
+def gram(spark, sf_dir, rows):
+    return rows(spark, sf_dir).gram_matrix().cells().select(F.col("i").cast("int").alias("i"), "j", r("x", 4).alias("x"))
 
 
-@_query(f"SELECT CAST(a.j AS INTEGER) AS i, CAST(b.j AS INTEGER) AS j, round(covar_samp(a.x, b.x) + 0.0, 6) AS x FROM {_CELL} a JOIN {_CELL} b USING (i) GROUP BY a.j, b.j")
-def covariance_matrix(spark, sf_dir):
-    return _eight(spark, sf_dir).covariance().cells().select(F.col("i").cast("int").alias("i"), "j", r("x").alias("x"))
+@_both(f"SELECT CAST(a.j AS INTEGER) AS i, CAST(b.j AS INTEGER) AS j, round(covar_samp(a.x, b.x) + 0.0, 6) AS x FROM {_CELL} a JOIN {_CELL} b USING (i) GROUP BY a.j, b.j")
+def covariance_matrix(spark, sf_dir, rows):
+    return rows(spark, sf_dir).covariance().cells().select(F.col("i").cast("int").alias("i"), "j", r("x").alias("x"))
 
 
-@_query(f"SELECT a.i, CAST(b.j AS INTEGER) AS j, round(sum(a.x * (a.j + 1) * (b.j + 2) / 10.0) + 0.0, 5) AS x FROM {_CELL} a, (SELECT unnest(range(3)) AS j) b GROUP BY a.i, b.j")
-def matmul(spark, sf_dir):
-    w = matrix.Array([[(i + 1) * (j + 2) / 10 for j in range(3)] for i in range(8)])
-    return (_eight(spark, sf_dir) @ w).cells().select("i", "j", r("x", 5).alias("x"))
+@_both(f"SELECT a.i, CAST(b.j AS INTEGER) AS j, round(sum(a.x * (a.j + 1) * (b.j + 2) / 10.0) + 0.0, 5) AS x FROM {_CELL} a, (SELECT unnest(range(3)) AS j) b GROUP BY a.i, b.j")
+def matmul(spark, sf_dir, rows):
+    a = rows(spark, sf_dir)
+    w = matrix.Array([[(i + 1) * (j + 2) / 10 for j in range(3)] for i in range(a.ncols)])
+    return (a @ w).cells().select("i", "j", r("x", 5).alias("x"))
 
 
-@_query(f"SELECT CAST(j AS BIGINT) AS j, round(sum(x) + 0.0, 4) AS total, round(avg(x) + 0.0, 6) AS mean, round(var_samp(x), 6) AS var, round(stddev_samp(x) + 1e-8, 6) AS sd FROM {_CELL} GROUP BY j")
-def column_statistics(spark, sf_dir):
+@_both(f"SELECT CAST(j AS BIGINT) AS j, round(sum(x) + 0.0, 4) AS total, round(avg(x) + 0.0, 6) AS mean, round(var_samp(x), 6) AS var, round(stddev_samp(x) + 1e-8, 6) AS sd FROM {_CELL} GROUP BY j")
+def column_statistics(spark, sf_dir, rows):
     x = F.col("x")
-    return _eight(spark, sf_dir).cells().groupBy(F.col("j").cast("long").alias("j")).agg(r(F.sum(x), 4).alias("total"), r(F.avg(x)).alias("mean"), r(F.var_samp(x)).alias("var"), r(F.stddev_samp(x) + 1e-8).alias("sd"))
+    return rows(spark, sf_dir).cells().groupBy(F.col("j").cast("long").alias("j")).agg(r(F.sum(x), 4).alias("total"), r(F.avg(x)).alias("mean"), r(F.var_samp(x)).alias("var"), r(F.stddev_samp(x) + 1e-8).alias("sd"))
 
 
-@_query(f"SELECT i AS idx, round(avg(x) + 0.0, 6) AS x FROM {_CELL} GROUP BY i")
-def row_means(spark, sf_dir):
-    return _eight(spark, sf_dir).mean_axis1().df.select("idx", r("x").alias("x"))
+@_both(f"SELECT i AS idx, round(avg(x) + 0.0, 6) AS x FROM {_CELL} GROUP BY i")
+def row_means(spark, sf_dir, rows):
+    return rows(spark, sf_dir).mean_axis1().df.select("idx", r("x").alias("x"))
 
 
 @_query(f"SELECT CAST(j AS BIGINT) AS i, CAST(i AS INTEGER) AS j, round(x + 0.0, 6) AS x FROM {_CELL} WHERE i < 50")
@@ -349,10 +371,11 @@ def transpose_whole(spark, sf_dir):
     return cells.select(F.col("j").cast("long").alias("i"), F.col("id").alias("j"), r("x").alias("x"))
 
 
-@_query(f"SELECT i, CAST(j AS INTEGER) AS j, round(2 * x + (j + 1) + 0.0, 6) AS x FROM {_CELL}")
-def broadcast_add(spark, sf_dir):
-    row = matrix.Array([[float(j + 1) for j in range(8)]])
-    return (_eight(spark, sf_dir) * 2 + row).cells().select("i", "j", r("x").alias("x"))
+@_both(f"SELECT i, CAST(j AS INTEGER) AS j, round(2 * x + (j + 1) + 0.0, 6) AS x FROM {_CELL}")
+def broadcast_add(spark, sf_dir, rows):
+    a = rows(spark, sf_dir)
+    row = matrix.Array([[float(j + 1) for j in range(a.ncols)]])
+    return (a * 2 + row).cells().select("i", "j", r("x").alias("x"))
 
 
 _ACT = {"relu": "greatest(x, 0)", "relu_deriv": "CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END", "leaky_relu": "CASE WHEN x > 0 THEN x ELSE 0.01 * x END", "elu": "CASE WHEN x > 0 THEN x ELSE exp(x) - 1 END", "selu": "1.0507009873554805 * CASE WHEN x > 0 THEN x ELSE 1.6732632423543772 * (exp(x) - 1) END", "gelu": "0.5 * x * (1 + tanh(0.7978845608028654 * (x + 0.044715 * x * x * x)))", "swish": "x / (1 + exp(-x))", "softplus": "ln(1 + exp(x))", "mish": "x * tanh(ln(1 + exp(x)))", "hardswish": "x * least(greatest(x + 3, 0), 6) / 6", "sigmoid_deriv": "1 / (1 + exp(-x)) * (1 - 1 / (1 + exp(-x)))"}
@@ -366,9 +389,9 @@ def activations(spark, sf_dir):
 _ROWS = f"(SELECT *, max(x) OVER (PARTITION BY i) AS top, avg(x) OVER (PARTITION BY i) AS mu, var_pop(x) OVER (PARTITION BY i) AS v FROM {_CELL})"
 
 
-@_query(f"SELECT i, CAST(j AS INTEGER) AS j, round(exp(x - top) / sum(exp(x - top)) OVER (PARTITION BY i), 6) AS soft, round(x - top - ln(sum(exp(x - top)) OVER (PARTITION BY i)), 6) AS log_soft, round((x - mu) / sqrt(v + 1e-5) + 0.0, 6) AS norm FROM {_ROWS}")
-def row_normalisations(spark, sf_dir):
-    d = _eight(spark, sf_dir).df
+@_both(f"SELECT i, CAST(j AS INTEGER) AS j, round(exp(x - top) / sum(exp(x - top)) OVER (PARTITION BY i), 6) AS soft, round(x - top - ln(sum(exp(x - top)) OVER (PARTITION BY i)), 6) AS log_soft, round((x - mu) / sqrt(v + 1e-5) + 0.0, 6) AS norm FROM {_ROWS}")
+def row_normalisations(spark, sf_dir, rows):
+    d = rows(spark, sf_dir).df
     z = F.arrays_zip(nn.row_softmax("v").alias("s"), nn.row_log_softmax("v").alias("l"), nn.row_layer_norm("v").alias("n"))
     return d.select(F.col("row_id").alias("i"), F.posexplode(z).alias("j", "z")).select("i", "j", r("z.s").alias("soft"), r("z.l").alias("log_soft"), r("z.n").alias("norm"))
 
@@ -380,9 +403,9 @@ def losses(spark, sf_dir):
     return _t(spark, sf_dir, "lineitem").agg(r(F.avg(nn.LOSSES["mse"](p, t))).alias("mse"), r(F.avg(nn.LOSSES["mae"](p, t))).alias("mae"), r(F.avg(nn.huber(p, t, 0.03)), 8).alias("huber"), r(F.avg(nn.bce(p * 5, y))).alias("bce"))
 
 
-@_query(f"SELECT CAST(i // 2 AS BIGINT) AS i, CAST(j // 2 AS INTEGER) AS j, round(max(x) + 0.0, 6) AS most, round(avg(x) + 0.0, 6) AS mean FROM {_CELL} GROUP BY i // 2, j // 2")
-def pooling(spark, sf_dir):
-    a = _eight(spark, sf_dir)
+@_both(f"SELECT CAST(i // 2 AS BIGINT) AS i, CAST(j // 2 AS INTEGER) AS j, round(max(x) + 0.0, 6) AS most, round(avg(x) + 0.0, 6) AS mean FROM {_CELL} GROUP BY i // 2, j // 2")
+def pooling(spark, sf_dir, rows):
+    a = rows(spark, sf_dir)
     both = a.max_pool2d(2).cells().withColumnRenamed("x", "most").join(a.avg_pool2d(2).cells().withColumnRenamed("x", "mean"), ["i", "j"])
     return both.select("i", F.col("j").cast("int").alias("j"), r("most").alias("most"), r("mean").alias("mean"))
 

@@ -23,3 +23,10 @@ def test_transpose_whole(spark):
     rows = _column("embeddings", "embedding", "vec_id")
     got = {(r.i, r.j): r.x for r in catalogue.QUERIES["transpose_whole"](spark, SF).collect()}
     assert len(got) == sum(map(len, rows)) and all(abs(got[i, j] - x) < 1e-6 for j, v in enumerate(rows) for i, x in enumerate(v))
+
+
+def test_gram_of_whole_vectors(spark):
+    v = np.array(_column("embeddings", "embedding", "vec_id"), float)
+    got = catalogue.QUERIES["gram_whole"](spark, SF).orderBy("i", "j").collect()
+    assert np.allclose([r.x for r in got], (v.T @ v).ravel(), atol=1e-4)
+    assert all(catalogue.QUERIES[f"{n}_whole"](spark, SF).count() == v.size for n in ("row_normalisations", "broadcast_add"))
