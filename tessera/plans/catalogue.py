@@ -157,6 +157,12 @@ def norms_dot_prod(spark, sf_dir):
     return _t(spark, sf_dir, "lineitem").agg(r(reduce.norm(q), 4).alias("l2"), r(reduce.norm_l1(q), 2).alias("l1"), reduce.norm_inf(q).alias("linf"), r(reduce.norm_lp(q, 3.0), 4).alias("l3"), r(reduce.dot(q, F.col("l_tax")), 3).alias("dot"), r(reduce.prod(F.when(F.col("l_orderkey") < 20, 1 + F.col("l_tax")).otherwise(1.0))).alias("prod"))
 
 
+@_query("SELECT round(product(1 + l_tax / 1e6), 8) AS prod FROM lineitem")
+def prod_whole(spark, sf_dir):
+    """The product over every row, of factors near 1."""
+    return _t(spark, sf_dir, "lineitem").agg(r(reduce.prod(1 + F.col("l_tax") / 1e6), 8).alias("prod"))
+
+
 @_query("SELECT (SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 1) AS argmin, (SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 1) AS argmax")
 def argmin_argmax(spark, sf_dir):
     return _t(spark, sf_dir, "orders").agg(reduce.argmin(F.col("o_totalprice"), F.col("o_orderkey")).alias("argmin"), reduce.argmax(F.col("o_totalprice"), F.col("o_orderkey")).alias("argmax"))

@@ -30,3 +30,8 @@ def test_gram_of_whole_vectors(spark):
     got = catalogue.QUERIES["gram_whole"](spark, SF).orderBy("i", "j").collect()
     assert np.allclose([r.x for r in got], (v.T @ v).ravel(), atol=1e-4)
     assert all(catalogue.QUERIES[f"{n}_whole"](spark, SF).count() == v.size for n in ("row_normalisations", "broadcast_add"))
+
+
+def test_prod_of_all_rows(spark):
+    want = np.prod(1 + np.array(_column("lineitem", "l_tax")) / 1e6)
+    assert want > 1.0001 and abs(catalogue.QUERIES["prod_whole"](spark, SF).first().prod - want) < 1e-7
