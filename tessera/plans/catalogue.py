@@ -310,6 +310,20 @@ def nearest(spark, sf_dir):
     return geometry.nearest(e, e.filter("id < 20"), 5).select("j", "rank", "i")
 
 
+@_query("SELECT a.vec_id AS i, b.vec_id AS j, round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS d FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0")
+def cdist_whole(spark, sf_dir):
+    """Every vector whose id is divisible by 50 against every vector."""
+    e = _vectors(spark, sf_dir)
+    return geometry.cdist(e, e.filter("id % 50 = 0")).select("i", "j", r("d", 5).alias("d"))
+
+
+@_query("SELECT j, CAST(k - 1 AS INTEGER) AS rank, i FROM (SELECT b.vec_id AS j, a.vec_id AS i, row_number() OVER (PARTITION BY b.vec_id ORDER BY list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), a.vec_id) AS k FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0) WHERE k <= 5")
+def nearest_whole(spark, sf_dir):
+    """The five nearest vectors of each vector whose id is divisible by 50."""
+    e = _vectors(spark, sf_dir)
+    return geometry.nearest(e, e.filter("id % 50 = 0"), 5).select("j", "rank", "i")
+
+
 _CELL = "(SELECT vec_id AS i, unnest(range(8)) AS j, unnest(CAST(embedding[1:8] AS DOUBLE[])) AS x FROM embeddings)"
 
 

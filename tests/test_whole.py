@@ -35,3 +35,10 @@ def test_gram_of_whole_vectors(spark):
 def test_prod_of_all_rows(spark):
     want = np.prod(1 + np.array(_column("lineitem", "l_tax")) / 1e6)
     assert want > 1.0001 and abs(catalogue.QUERIES["prod_whole"](spark, SF).first().prod - want) < 1e-7
+
+
+def test_queries_grow_with_the_table(spark):
+    ids = _column("embeddings", "vec_id")
+    asked = {i for i in ids if i % 50 == 0}
+    assert catalogue.QUERIES["cdist_whole"](spark, SF).count() == len(ids) * len(asked)
+    assert {r.j for r in catalogue.QUERIES["nearest_whole"](spark, SF).collect()} == asked
