@@ -72,7 +72,7 @@ class LazyPipeline:
         return self._one(F.coalesce(F.min(F.when(~F.isnan("x"), F.col("x"))), F.lit(math.inf if len(self.source) else math.nan)))
 
     def to_vector(self) -> Vector:
-        return Vector(ordered.with_index(self.df.withColumnRenamed("idx", "_i"), "_i"))
+        return Vector(ordered.reindex(self.df.withColumnRenamed("idx", "_i"), "_i"))
 
     def to_tuple(self) -> tuple[float, ...]:
         return tuple(r.x for r in self.df.orderBy("idx").collect())

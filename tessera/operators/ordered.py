@@ -3,16 +3,33 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.store import stored
+
 BLOCK = 1 << 20
 
 
 def with_index(df: DataFrame, *order, name: str = "idx") -> DataFrame:
-    """df with a dense index 0, 1, ... in the given order: a range sort, then offsets from the counts of its partitions."""
-    marked = df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id())
+    """df with a dense index 0, 1, ... in the given order: a range sort, then offsets from the counts of its partitions.
+
+    The sorted rows are written once, with their partition and place.  Counts and offsets are read from that copy: a plan
+    run twice may draw other range borders, and offsets of one run do not fit the rows of another.
+    """
+    at = stored(df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()), "sorted")
     part, inside = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
     # One row for each partition of the sort.
-    sizes = marked.groupBy(part.alias("_p")).count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    return marked.withColumn("_p", part).join(F.broadcast(sizes), "_p").withColumn(name, F.col("_before") + inside).drop("_m", "_p", "_before")
+    sizes = at.groupBy(part.alias("_p")).count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
+    return at.withColumn("_p", part).join(F.broadcast(sizes), "_p").withColumn(name, F.col("_before") + inside).drop("_m", "_p", "_before")
+
+
+def reindex(df: DataFrame, by: str, name: str = "idx", block: int = BLOCK) -> DataFrame:
+    """df, in which `by` holds distinct longs, with a dense index 0, 1, ... in the order of `by`, which goes.
+
+    A row's block depends on its own value alone, so no plan run twice can disagree; a block holds `block` rows at most.
+    """
+    marked = df.withColumn("_b", F.floor(F.col(by) / block))
+    # One row for each block of values.
+    sizes = marked.groupBy("_b").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
+    return marked.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(by)) - 1).join(sizes, "_b").withColumn(name, F.col("_before") + F.col("_r")).drop("_b", "_r", "_before", *([by] if by != name else []))
 
 
 def running(df: DataFrame, total, combine, out: str, idx: str = "idx", block: int = BLOCK) -> DataFrame:

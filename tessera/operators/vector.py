@@ -343,7 +343,7 @@ class Vector:
         return self._number_mask("eq", t)
 
     def _kept(self, df: DataFrame) -> Vector:
-        return Vector(ordered.with_index(df.withColumnRenamed("idx", "_i"), "_i"))
+        return Vector(ordered.reindex(df.withColumnRenamed("idx", "_i"), "_i"))
 
     def filter_gt(self, t: float) -> Vector:
         return self._kept(self.df.filter(ieee.compare(F.col("x"), "gt", float(t))))
@@ -376,7 +376,7 @@ class Vector:
         for i, (v, _, _) in enumerate(conditions):
             table = table.join(v.df.withColumnRenamed("x", f"c{i}"), "idx")
         kept = table.filter(ieee.predicate([(f"c{i}", op, float(t)) for i, (_, op, t) in enumerate(conditions)], mode))
-        kept = ordered.with_index(kept.withColumnRenamed("idx", "_i"), "_i")
+        kept = ordered.reindex(kept.withColumnRenamed("idx", "_i"), "_i")
         return [Vector(kept.select("idx", F.col(f"v{i}").alias("x"))) for i in range(len(vectors))]
 
     def where_(self, mask, other: Vector) -> Vector:
@@ -397,7 +397,7 @@ class Vector:
         return Vector(self.df.select((len(self) - 1 - F.col("idx")).alias("idx"), "x"), self._size)
 
     def unique(self) -> Vector:
-        return Vector(ordered.with_index(reduce.unique(self.df, "x", "idx"), "first"))
+        return Vector(ordered.reindex(reduce.unique(self.df, "x", "idx"), "first"))
 
     def cumsum(self) -> Vector:
         return Vector(ordered.cumsum(self.df), self._size)

@@ -8,6 +8,7 @@ from tessera.functions import distributions, ieee, nn, special
 from tessera.operators import geometry, matrix, ordered, reduce, signal, stats, table
 from tessera.operators.autograd import Node
 from tessera.operators.scalar import Dual, Quaternion, rotated
+from tessera.operators.vector import Vector
 from tessera.streaming import moments
 
 QUERIES: dict = {}
@@ -192,6 +193,18 @@ def sort_argsort(spark, sf_dir):
     return ordered.with_index(_t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey").select("idx", "o_orderkey", "o_totalprice")
 
 
+@_query("SELECT row_number() OVER (ORDER BY l_extendedprice) - 1 AS idx, l_extendedprice AS x FROM lineitem")
+def row_index(spark, sf_dir):
+    """Every row of lineitem, all its columns sorted and numbered."""
+    return ordered.with_index(_t(spark, sf_dir, "lineitem"), "l_extendedprice").select("idx", F.col("l_extendedprice").alias("x"))
+
+
+@_query("SELECT row_number() OVER (ORDER BY l_extendedprice) - 1 AS idx, l_extendedprice AS x FROM lineitem WHERE l_extendedprice > 20000 AND l_extendedprice < 80000")
+def filter_sorted(spark, sf_dir):
+    """A sorted vector, filtered twice and numbered anew."""
+    return Vector.from_table(_t(spark, sf_dir, "lineitem"), "l_extendedprice", "l_extendedprice").filter_gt(20000).filter_lt(80000).df
+
+
 @_query("SELECT 'head' AS part, o_orderkey FROM (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 7) UNION ALL SELECT 'tail', o_orderkey FROM (SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 7)")
 def head_tail(spark, sf_dir):
     o = _t(spark, sf_dir, "orders").select("o_orderkey")
