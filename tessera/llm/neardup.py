@@ -12,8 +12,10 @@ components do not join already is compared on the full sets, in blocks of chunks
 components of all pairs that share a region, whatever the number of partitions.
 """
 
+from itertools import count
+
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import column_bytes, cut, hashed_words, mix64, passing, shingles, small_batches
@@ -22,7 +24,7 @@ TREES, DEPTH, LEAST, NEAR = 16, 8, 4, 3
 #: Of 128 one-bit labels, how many must agree for a candidate: five standard deviations below what a similarity of 0.8 gives.
 AGREE = 98
 #: A chunk of a crowd holds about CHUNK shingles, a node counting as SMALL at least: 1024 nodes at most.
-CHUNK, SMALL = 1 << 19, 1 << 9
+CHUNK, SMALL = 1 << 18, 1 << 8
 
 
 def fingerprint(u: np.ndarray) -> bytes:
@@ -180,24 +182,24 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Those (a, b) of pairs whose full shingle sets have 100 * intersection >= percent * union."""
+    """(x, y) of those pairs (a, b, x, y) whose full shingle sets a, b have 100 * intersection >= percent * union."""
 
     def meet(batches):
         import pyarrow as pa
 
         for batch in batches:
             good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            for x, y in zip(batch.column("ma"), batch.column("mb"), strict=True):
                 u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 u, v = (u, v) if len(u) <= len(v) else (v, u)
                 both = int((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum())
                 good.append(100 * both >= percent * (len(u) + len(v) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+            yield batch.select(["x", "y"]).filter(pa.array(good, pa.bool_()))
 
     # Sets are long: their size on disk says little, so they are never broadcast.
     left = pairs.join(members.select(F.col("fp").alias("a"), F.col("members").alias("ma")).hint("merge"), "a")
-    both = left.join(members.select(F.col("fp").alias("b"), F.col("members").alias("mb")).hint("merge"), "b").select("a", "b", "ma", "mb")
-    return both.mapInArrow(meet, "a binary, b binary")
+    both = left.join(members.select(F.col("fp").alias("b"), F.col("members").alias("mb")).hint("merge"), "b").select("x", "y", "ma", "mb")
+    return both.mapInArrow(meet, "x binary, y binary")
 
 
 def joining(sets: list[np.ndarray], group: np.ndarray, rows: np.ndarray, columns: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -205,8 +207,9 @@ def joining(sets: list[np.ndarray], group: np.ndarray, rows: np.ndarray, columns
     size, group, edges = np.array([len(u) for u in sets]), group.copy(), []
     owner = np.repeat(np.arange(len(sets)), size)
     _, token, holders = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    # Shingles of many holders are columns of a dense product, the others are counted along their postings.
-    thick = holders > max(len(columns) // 16, 1)
+    # Shingles of many holders are columns of a dense product, the others are counted along their postings.  There are
+    # 16 columns at most for each shingle that a set has on average, so the product's size follows that of the sets.
+    thick = holders > max(len(sets) // 16, 1)
     held = np.zeros((len(sets), int(thick.sum())), np.float32)
     at = thick[token]
     held[owner[at], (np.cumsum(thick) - 1)[token[at]]] = 1
@@ -231,24 +234,29 @@ def joining(sets: list[np.ndarray], group: np.ndarray, rows: np.ndarray, columns
 
 
 def crowd_links(crowds: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links that join all labels which any confirmed pair of a crowd joins.  crowds: (key, fp, label, size)."""
+    """(x, y): pairs of labels that join all labels which any confirmed pair of a crowd joins.  crowds: (key, fp, label, size)."""
 
     def meet(table):
         import pyarrow as pa
 
-        side, fps = np.array(table["side"]), table["fp"].to_pylist()
+        side, labels = np.array(table["side"]), table["label"].to_pylist()
         sets = [np.frombuffer(m.as_buffer(), np.uint64) for m in table["members"]]
-        _, group = np.unique(np.array([m.hex() for m in table["label"].to_pylist()]), return_inverse=True)
+        _, group = np.unique(np.array([m.hex() for m in labels]), return_inverse=True)
         rows, columns = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if not len(columns):
             # A chunk with itself: every pair of two groups has a node outside the largest one.
-            rows, columns = np.flatnonzero(group != np.bincount(group).argmax()), np.arange(len(fps))
+            rows, columns = np.flatnonzero(group != np.bincount(group).argmax()), np.arange(len(labels))
         edges = joining(sets, group, rows, columns, percent) if len(rows) else []
-        return pa.table({"a": pa.array([fps[i] for i, _ in edges], pa.binary()), "b": pa.array([fps[j] for _, j in edges], pa.binary())})
-
-    # Nodes of one label stand together, so chunks of a large component meet no chunk of the same.
-    before = F.sum(F.greatest("size", F.lit(SMALL))).over(Window.partitionBy("key").orderBy("label", "fp")) - F.greatest("size", F.lit(SMALL))
-    placed = cut(crowds.withColumn("chunk", F.floor(before / CHUNK).cast("int")), "chunks")
+        return pa.table({"x": pa.array([labels[i] for i, _ in edges], pa.binary()), "y": pa.array([labels[j] for _, j in edges], pa.binary())})
+
+    # A label of a chunk's size or more has chunks of its own; smaller labels share chunks.  Only sums are gathered, so
+    # no crowd is ever in one task, and chunks of a large component meet no chunk of the same.
+    weighed = crowds.withColumn("w", F.greatest("size", F.lit(SMALL)))
+    labels = cut(weighed.groupBy("key", "label").agg(F.sum("w").alias("own")), "crowd-labels")
+    shared = labels.filter(F.col("own") < CHUNK).groupBy("key").agg(F.sum("own").alias("shared"))
+    several = lambda of, total: F.xxhash64(F.lit(total), of, F.pmod(F.xxhash64("fp" if total == "own" else "label"), F.ceil(F.col(total) / CHUNK)))
+    chunk = F.when(F.col("own") >= CHUNK, several(F.col("label"), "own")).otherwise(several(F.lit(0), "shared"))
+    placed = cut(crowds.join(labels, ["key", "label"]).join(shared, "key", "left").select("key", "fp", "label", chunk.alias("chunk")), "chunks")
     chunks = cut(placed.groupBy("key", "chunk").agg(F.min("label").alias("lo"), F.max("label").alias("hi")), "chunk-ends")
     x, y = (chunks.select("key", *[F.col(c).alias(f"{c}{k}") for c in ("chunk", "lo", "hi")]) for k in "xy")
     blocks = x.join(y, "key").filter("chunkx <= chunky and not (lox = hix and loy = hiy and lox = loy)").select("key", "chunkx", "chunky")
@@ -256,17 +264,17 @@ def crowd_links(crowds: DataFrame, members: DataFrame, percent: int) -> DataFram
     one = lambda c, side, some: placed.join(some, (placed["key"] == some["key"]) & (placed["chunk"] == some[c])).select(some["key"], "chunkx", "chunky", F.lit(side).alias("side"), "fp", "label")
     both = one("chunkx", 0, blocks).unionByName(one("chunky", 1, blocks.filter("chunkx < chunky")))
     filled = both.join(members.hint("merge"), "fp")
-    return filled.groupBy("key", "chunkx", "chunky").applyInArrow(meet, "a binary, b binary")
+    return filled.groupBy("key", "chunkx", "chunky").applyInArrow(meet, "x binary, y binary")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, label): label is the smallest node of its component; only nodes with an edge.  edges: (a, b).
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label): label is the smallest node of its component; only nodes with an edge.  edges: (x, y).
 
-    Alternating large-star and small-star steps; each round is written to the shared folder and no neighbourhood is
-    ever gathered in one place - minima are aggregates and come back by a join.
+    Alternating large-star and small-star steps until nothing changes; each round is written to the shared folder and no
+    neighbourhood is ever gathered in one place - minima are aggregates and come back by a join.
     """
-    now, before = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "cc"), None
-    for k in range(most_rounds):
+    now, before = cut(edges.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct(), "cc"), None
+    for k in count():
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("m").alias("a"), "b").distinct()
@@ -278,11 +286,22 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if mark == before:
             break
         before = mark
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("b").alias("node"), F.col("a").alias("label")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
 
 
+def merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """label (node, label) with the groups joined that links (x, y: labels, or nodes without one) join.
+
+    Only groups with a new link are looked at, so these components have few rounds on a small graph.
+    """
+    if links.isEmpty():
+        return label
+    more = components(links).select(F.col("node").alias("old"), F.col("label").alias("new"))
+    known = label.join(more, F.col("label") == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label"))
+    bare = more.join(label, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("label"))
+    return cut(known.unionByName(bare), "merged")
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (smallest id of its group) and kept (it is that id).
 
@@ -301,21 +320,18 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     in_pairs = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).unionByName(crowds.select("fp")).distinct()
     members = shingle_sets(holders, nodes.select("fp", "least").join(in_pairs, "fp", "left_semi"), n)
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a")).select("a", "b")
-    first = cut(confirm(best, members, percent), "links-1")
-    label = components(first)
+    label = components(cut(confirm(best.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")), members, percent), "links-1"))
     named = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
     rest = pairs.join(best, ["a", "b"], "left_anti").join(named("a"), "a", "left").join(named("b"), "b", "left")
-    rest = cut(rest.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"), "rest")
-    second = cut(confirm(rest, members, percent), "links-2")
-    label = components(first.unionByName(second))
+    rest = cut(rest.select("a", "b", F.coalesce("la", "a").alias("x"), F.coalesce("lb", "b").alias("y")).filter("x <> y"), "rest")
+    label = merged(label, cut(confirm(rest, members, percent), "links-2"))
     placed = crowds.join(nodes.select("fp", "size"), "fp").join(label, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("label", "fp").alias("label"), "size")
     placed = cut(placed, "crowds")
     # Crowds of one label are settled, and trees with the same crowd need it once.
     same = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("fp").cast("decimal(38,0)")).alias("mark")).filter("lo <> hi")
     open_crowds = cut(same.groupBy("n", "mark").agg(F.min("key").alias("key")).select("key"), "open")
     if not open_crowds.isEmpty():
-        third = cut(crowd_links(placed.join(open_crowds, "key", "left_semi"), members, percent), "links-3")
-        label = components(first.unionByName(second).unionByName(third))
+        label = merged(label, cut(crowd_links(placed.join(open_crowds, "key", "left_semi"), members, percent), "links-3"))
     joined = cut(nodes.select("fp", "least").join(label, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label")), "labels")
     smallest = joined.groupBy("label").agg(F.min("least").alias("component"))
     members = joined.join(smallest, "label").select(F.col("fp").alias("_fp"), "component")

@@ -8,7 +8,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from tessera.llm.common import column_bytes, held_out, hashed_words, mix64, small_batches
 from tessera.llm.features import text_stats
 
-MOST_ROWS, DIMENSIONS, RANK, SHARPNESS = 4_000, 4_096, 32, 24.0
+MOST_ROWS, DIMENSIONS, RANK, SHARPNESS, FIT_BLOCK = 4_000, 4_096, 32, 24.0, 256
 _BUCKETS = np.array([0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9])
 
 
@@ -51,24 +51,34 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> dict:
             got = list(_text_terms(batch.column(2)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t.astype(np.int16).tobytes() for t, _ in got], pa.binary()), pa.array([w.astype(np.float32).tobytes() for _, w in got], pa.binary())], ["doc_id", "quality", "t", "w"])
 
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), "text").mapInArrow(terms, "doc_id bigint, quality int, t binary, w binary").collect()
+    # Rows that share an id are one (the least text by hash): at most most_rows rows reach the driver.
+    one = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = one.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), "text").mapInArrow(terms, "doc_id bigint, quality int, t binary, w binary").collect()
     rows.sort(key=lambda r: (r.doc_id, r.quality))
     if not rows:
         return {"idf": np.ones(DIMENSIONS, np.float32), "axes": np.zeros((DIMENSIONS, 1), np.float32), "vectors": np.zeros((0, 1), np.float32), "votes": np.zeros(0, np.float32), "prior": 0.5}
-    x = np.zeros((len(rows), DIMENSIONS), np.float32)
-    for i, r in enumerate(rows):
-        np.add.at(x[i], np.frombuffer(r.t, np.int16), np.frombuffer(r.w, np.float32))
-    idf = (np.log((1 + len(rows)) / (1 + (x > 0).sum(0))) + 1).astype(np.float32)
-    x *= idf
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    # Right singular vectors from the smaller Gram matrix, by subspace iteration with a fixed start.
+    terms_, weights = [np.frombuffer(r.t, np.int16) for r in rows], [np.frombuffer(r.w, np.float32) for r in rows]
+    held = np.zeros(DIMENSIONS, np.int64)
+    for t in terms_:
+        held[np.unique(t)] += 1
+    idf = (np.log((1 + len(rows)) / (1 + held)) + 1).astype(np.float32)
+
+    def blocks():
+        """The normalised rows as dense blocks; the whole matrix is never in memory."""
+        for at in range(0, len(rows), FIT_BLOCK):
+            x = np.zeros((min(FIT_BLOCK, len(rows) - at), DIMENSIONS), np.float32)
+            for i in range(len(x)):
+                np.add.at(x[i], terms_[at + i], weights[at + i])
+            x *= idf
+            yield x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    # Right singular vectors by subspace iteration with a fixed start.
     q = np.linalg.qr(np.random.default_rng(5).standard_normal((DIMENSIONS, min(RANK + 8, len(rows)))))[0].astype(np.float32)
     for _ in range(8):
-        q = np.linalg.qr(x.T @ (x @ q))[0]
-    small = x @ q
-    _, _, vt = np.linalg.svd(small, full_matrices=False)
+        q = np.linalg.qr(sum(x.T @ (x @ q) for x in blocks()))[0]
+    _, _, vt = np.linalg.svd(np.concatenate([x @ q for x in blocks()]), full_matrices=False)
     axes = (q @ vt.T[:, :RANK]).astype(np.float32)
-    vectors = x @ axes
+    vectors = np.concatenate([x @ axes for x in blocks()])
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
     good = np.array([r.quality == 1 for r in rows], np.float32)
     return {"idf": idf, "axes": axes, "vectors": vectors.astype(np.float32), "votes": good, "prior": float(good.mean())}

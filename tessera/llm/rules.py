@@ -85,7 +85,9 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> list[
     known = labels.filter(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     # A sort by hash with a limit: the driver gets at most most_rows rows of statistics.
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    rows = with_stats(docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "quality"), keep=("doc_id", "quality")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    # Rows that share an id are one (the least text by hash).
+    one = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = with_stats(one, keep=("doc_id", "quality")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     if not rows:
         return []
     return learn({f: np.array([r[f] for r in rows]) for f in RATIOS}, np.array([r.quality == 0 for r in rows]))
