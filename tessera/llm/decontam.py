@@ -9,16 +9,17 @@ Windows have the size of an item and stand where one can: with at most k edits,
 g-word runs whole if n - g + 1 > g k, so windows are placed by the runs that documents share with items.  This loses
 no item; how many are lost by sampling is measured in the tests.
 
-Items are broadcast in blocks of at most BLOCK_CHARS characters; a larger benchmark takes several passes over documents.
+Items are broadcast in blocks of about BLOCK_CHARS characters, one block at a time: a larger benchmark takes several
+passes over the documents, each written before the next block is made, so neither driver nor executors ever hold two.
 """
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import column_bytes, hashed_words, mix64, small_batches
+from tessera.llm.common import column_bytes, cut, hashed_words, mix64, small_batches
 
-REPEATS, SAMPLES, BLOCK_CHARS, RATE = 48, 2, 16_000_000, 0.2
+REPEATS, SAMPLES, BLOCK_CHARS, RATE = 48, 2, 4_000_000, 0.2
 _END = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -83,18 +84,21 @@ def index_items(items: list[tuple], rate: float) -> dict:
             continue
         k, n = int(rate * len(h)), len(h)
         g = next((g for g in (4, 3, 2, 1) if n - g + 1 > g * k), 1) if k else min(4, n)
-        who = len(ids)
         ids.append(item)
         words.append(h)
-        r = runs.setdefault(g, [])
-        r.extend((int(x), o, n) for o, x in enumerate(grams(h, g)))
-        keys.append((cgk_keys(h, np.array([0]), np.array([n]))[0], who))
+        x = grams(h, g)
+        runs.setdefault(g, []).append((x, np.arange(len(x)), np.full(len(x), n)))
+        keys.append(cgk_keys(h, np.array([0]), np.array([n]))[0])
     table = {}
     for g, r in runs.items():
-        r = sorted(set(r))
-        table[g] = np.array([x for x, _, _ in r], np.uint64), np.array([o for _, o, _ in r], np.int64), np.array([n for _, _, n in r], np.int64)
-    flat = sorted((int(v), who) for row, who in keys for v in row)
-    return {"ids": ids, "words": words, "runs": table, "keys": np.array([v for v, _ in flat], np.uint64), "who": np.array([w for _, w in flat], np.int64), "rate": rate}
+        x, o, n = (np.concatenate(c) for c in zip(*r, strict=True))
+        order = np.lexsort((n, o, x))
+        x, o, n = x[order], o[order], n[order]
+        new = np.concatenate([[True], (x[1:] != x[:-1]) | (o[1:] != o[:-1]) | (n[1:] != n[:-1])])
+        table[g] = x[new], o[new], n[new]
+    flat, who = np.concatenate(keys) if keys else np.zeros(0, np.uint64), np.repeat(np.arange(len(keys)), REPEATS)
+    order = np.lexsort((who, flat))
+    return {"ids": ids, "words": words, "runs": table, "keys": flat[order], "who": who[order], "rate": rate}
 
 
 def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,21 +142,23 @@ def find(words: np.ndarray, index: dict, block: int = 512) -> list[tuple[int, in
     return [(who, *x) for who, x in sorted(best.items())]
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, rate: float):
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, rate: float, block: int):
+    """(whether it is the last, index) for each block of items; one is made at a time."""
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).cast("string").alias("text"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-total // BLOCK_CHARS))
+    n = max(1, -(-total // block))
     for k in range(n):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).distinct().collect()
-        yield index_items(sorted(((r.item_id, r.text) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")), rate)
+        yield k == n - 1, index_items(sorted(((r.item_id, r.text) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")), rate)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, distance, item_words, start, end): for each row of docs and item found in it, the best window.
 
     An item is found where some window's word edit distance is at most rate * its words (rounded down).  Words are
-    lower-cased (A-Z).  start and end are code points in the text.  Null and empty texts and items match nothing; equal
-    rows of docs are reported each; other columns are ignored.
+    lower-cased (A-Z).  start and end are code points in the text.  Null and empty texts and items match nothing; very
+    long texts are read whole; of equally near windows the first is reported; equal rows of docs are reported each;
+    without documents or items there are no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -160,8 +166,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: s
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"doc_id {id_type}, item_id {item_type}, distance int, item_words int, start int, `end` int"
     parts = []
-    for index in _blocks(benchmark, item_col, item_text_col, rate):
-        parts.append(plain.mapInArrow(_matcher(spark.sparkContext.broadcast(index)), schema))
+    for last, index in _blocks(benchmark, item_col, item_text_col, rate, block):
+        shared = spark.sparkContext.broadcast(index)
+        found = plain.mapInArrow(_matcher(shared), schema)
+        if not last:
+            found = cut(found, "decontam-found")
+            shared.destroy()
+        parts.append(found)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -188,13 +199,17 @@ def _matcher(shared):
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text_col: str = "text", block: int = BLOCK_CHARS) -> DataFrame:
     """The rows of docs in whose text no item is found (see matches); all columns stay."""
     spark = docs.sparkSession
     small_batches(spark)
     where = docs.columns.index(text_col)
-    for index in _blocks(benchmark, "item_id", "text", rate):
-        docs = docs.mapInArrow(_cleaner(spark.sparkContext.broadcast(index), where), docs.schema)
+    for last, index in _blocks(benchmark, "item_id", "text", rate, block):
+        shared = spark.sparkContext.broadcast(index)
+        docs = docs.mapInArrow(_cleaner(shared, where), docs.schema)
+        if not last:
+            docs = cut(docs, "decontam-kept")
+            shared.destroy()
     return docs
 
 
