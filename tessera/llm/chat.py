@@ -1,7 +1,8 @@
 r"""Chat formatting of reply trees (native).
 
-Iterative self-joins double the known part of every node's way to its root, so a tree of depth d takes log2(d) rounds.
-Branches (leaves) are ranked by score and each chosen root-to-leaf path becomes one conversation.
+Iterative self-joins double, for every node, how far up an ancestor is known, and with it the part of each leaf's path that
+is listed, so a tree of depth d takes log2(d) rounds and its paths are as many rows as they have nodes.  Branches (leaves)
+are ranked by score and each chosen root-to-leaf path becomes one conversation; texts join the chosen paths only.
 
 Template, per turn: `<|im_start|>`, role, newline, text, `<|im_end|>`, newline.  In roles and texts a backslash is doubled
 and a backslash is put behind the first character of every control string, so none survives inside a text; dropping one
@@ -9,7 +10,7 @@ backslash of each pair gives the text back.  Newlines in roles are escaped too.
 mask, given as code-point spans of the formatted string.
 """
 
-import math
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,26 +34,26 @@ def unescape(text) -> F.Column:
 
 
 def paths(nodes: DataFrame) -> DataFrame:
-    """(conv, leaf, path): node ids from the root to each leaf.  nodes: conv, node, parent (null, or not there: a root).
+    """(conv, leaf, node, up): every node on the way from each leaf to its root, `up` steps above the leaf.
 
-    Each round joins the table with itself on the farthest known ancestor; rounds stop when every way has reached a root.
-    Nodes on a cycle of parents reach none and are left out.
+    nodes: conv, node, parent (null, or not there: a root).  Round k joins a table of ancestors 2^k steps up with the nodes
+    listed so far, which are those less than 2^k steps up, and with itself; rounds stop when no leaf has an ancestor so far
+    up.  Leaves below a cycle of parents reach no root and are left out, as are the nodes of the cycle.
     """
     here = nodes.select("conv", "node")
-    known = nodes.join(here.withColumnRenamed("node", "parent"), ["conv", "parent"], "left_semi").select("conv", "node", F.col("parent").alias("up"))
-    at = nodes.select("conv", "node").join(known, ["conv", "node"], "left").withColumn("path", F.array("node"))
-    at = cut(at, "chat-0")
-    most = at.groupBy("conv").count().agg(F.max("count")).first()[0] or 0
-    rooted, open_ = at.filter("up is null"), at.filter("up is not null")
-    for k in range(math.ceil(math.log2(most + 1)) + 1):
-        if open_.isEmpty():
-            break
-        # Only ways that have not reached a root go on; so a long conversation adds rounds, but not rows of the others.
-        above = rooted.unionByName(open_).select("conv", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"))
-        step = cut(open_.join(above, ["conv", "up"]).select("conv", "node", F.col("_up").alias("up"), F.concat("_path", "path").alias("path")), f"chat-{k + 1}")
-        rooted, open_ = rooted.unionByName(step.filter("up is null")), step.filter("up is not null")
-    leaves = rooted.join(known.select("conv", F.col("up").alias("node")), ["conv", "node"], "left_anti")
-    return leaves.select("conv", F.col("node").alias("leaf"), "path")
+    jump = cut(nodes.select("conv", "node", F.col("parent").alias("to")).join(here.withColumnRenamed("node", "to"), ["conv", "to"], "left_semi").select("conv", "node", "to"), "chat-up")
+    leaves = here.join(jump.select("conv", F.col("to").alias("node")), ["conv", "node"], "left_anti")
+    listed = cut(leaves.select("conv", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")), "chat-0")
+    most = here.groupBy("conv").count().agg(F.max("count")).first()[0] or 0
+    for k in count():
+        step = cut(listed.join(jump, ["conv", "node"]).select("conv", "leaf", F.col("to").alias("node"), (F.col("up") + (1 << k)).alias("up")), f"chat-{k + 1}")
+        if step.isEmpty():
+            return listed
+        if 1 << k > most:
+            # No path is longer than its tree has nodes: what still goes up goes round.
+            return listed.join(step.select("conv", "leaf").distinct(), ["conv", "leaf"], "left_anti")
+        listed = listed.unionByName(step)
+        jump = cut(jump.join(jump.select("conv", F.col("node").alias("to"), F.col("to").alias("next")), ["conv", "to"]).select("conv", "node", F.col("next").alias("to")), "chat-up")
 
 
 def format_trees(nodes: DataFrame, branches: int | None = None) -> DataFrame:
@@ -60,27 +61,35 @@ def format_trees(nodes: DataFrame, branches: int | None = None) -> DataFrame:
 
     nodes: conv, node (unique in conv), parent, role, text, score.  A branch scores the mean of its nodes' scores (null: 0);
     ties go to the smaller leaf.  branches: how many of a tree to keep, None for all.  Null roles and texts are empty; a null
-    conv is a conversation of its own; extra columns are ignored; no nodes, no rows.
+    conv is a conversation of its own; a very long text or path makes one long row, as the format asks; of rows that
+    share conv and node the least by parent, role, text and score stays; extra columns are ignored; no nodes, no rows.
     """
     nodes = nodes.select(F.when(F.col("conv").isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col("conv").cast("string"))).alias("conv"), F.col("conv").alias("_conv"), "node", "parent", "role", "text", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    steps = paths(nodes).select("conv", "leaf", F.posexplode("path").alias("pos", "node"))
-    turn = F.struct("pos", escape(F.col("role"), True).alias("role"), escape(F.col("text")).alias("text"))
-    whole = steps.join(nodes, ["conv", "node"]).groupBy("conv", "leaf").agg(F.first("_conv").alias("_conv"), F.avg("score").alias("score"), F.sort_array(F.collect_list(turn)).alias("turns"))
-    whole = whole.withColumn("rank", F.row_number().over(Window.partitionBy("conv").orderBy(F.desc("score"), "leaf")))
+    nodes = nodes.groupBy("conv", "node").agg(F.min(F.struct("parent", "role", "text", "score", "_conv")).alias("n")).select("conv", "node", "n.*")
+    listed = paths(nodes.select("conv", "node", "parent"))
+    ranked = listed.join(nodes.select("conv", "node", "score"), ["conv", "node"]).groupBy("conv", "leaf").agg(F.avg("score").alias("branch_score"), F.max("up").alias("top"))
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("conv").orderBy(F.desc("branch_score"), "leaf")))
     if branches is not None:
-        whole = whole.filter(F.col("rank") <= branches)
-    turns = F.transform("turns", lambda t: F.concat(F.lit(START), t.role, F.lit("\n"), t.text, F.lit(END + "\n")))
-    fixed = len(START) + len(END) + 2
-    spans = F.aggregate(
-        "turns",
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans")),
-        lambda acc, t: F.struct(
-            (acc.at + fixed + F.length(t.role) + F.length(t.text)).alias("at"),
-            F.when(t.role == "assistant", F.concat(acc.spans, F.array(F.struct((acc.at + len(START) + F.length(t.role) + 1).alias("start"), (acc.at + len(START) + F.length(t.role) + 1 + F.length(t.text)).alias("end"))))).otherwise(acc.spans).alias("spans"),
-        ),
-        lambda acc: acc.spans,
-    )
-    return whole.select(F.col("_conv").alias("conv"), "leaf", "rank", "score", F.size("turns").alias("n_turns"), F.concat_ws("", turns).alias("formatted"), spans.alias("loss_spans"))
+        ranked = ranked.filter(F.col("rank") <= branches)
+    written = nodes.select("conv", "_conv", "node", escape(F.col("role"), True).alias("role"), escape(F.col("text")).alias("text"))
+    turns = listed.join(cut(ranked, "chat-ranked"), ["conv", "leaf"]).withColumn("pos", F.col("top") - F.col("up")).join(written, ["conv", "node"])
+    # A turn starts behind those before it: sums along the path, so spans cost no more than their number.
+    before = Window.partitionBy("conv", "leaf").orderBy("pos", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    head = F.concat(F.lit(START), "role", F.lit("\n"))
+    turns = turns.withColumn("at", F.coalesce(F.sum(F.length("role") + F.length("text") + len(START) + len(END) + 2).over(before), F.lit(0)) + F.length(head))
+    turn = F.struct("pos", F.concat(head, "text", F.lit(END + "\n")).alias("written"), (F.col("role") == "assistant").alias("loss"), F.col("at").cast("int").alias("start"), (F.col("at") + F.length("text")).cast("int").alias("end"))
+    whole = turns.groupBy("conv", "leaf").agg(F.first("_conv").alias("_conv"), F.first("rank").alias("rank"), F.first("branch_score").alias("score"), F.sort_array(F.collect_list(turn)).alias("turns"))
+    spans = F.transform(F.filter("turns", lambda t: t.loss), lambda t: F.struct(t.start.alias("start"), t.end.alias("end")))
+    return whole.select(F.col("_conv").alias("conv"), "leaf", "rank", "score", F.size("turns").alias("n_turns"), F.array_join(F.col("turns.written"), "").alias("formatted"), spans.alias("loss_spans"))
+
+
+def cut_spans(text, spans, page: int = 4096) -> F.Column:
+    """The pieces of text in spans (structs start, end in code points).  Text is cut into pages first: to find a place,
+    a long text is not read from its start again for each span."""
+    pages = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{page}}}"), F.lit(0))
+    some = lambda held, s: F.array_join(F.slice(held, F.floor(s.start / page).cast("int") + 1, F.floor(s.end / page).cast("int") - F.floor(s.start / page).cast("int") + 1), "")
+    # The pages are an element of an array, so that they are made once and not for every span.
+    return F.flatten(F.transform(F.array(pages), lambda held: F.transform(spans, lambda s: F.substring(some(held, s), s.start % page + 1, s.end - s.start))))
 
 
 def read_back(formatted) -> F.Column:

@@ -62,7 +62,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = rows.unionByName(probe).withColumn("node", F.row_number().over(order)).select("conv", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
     got = chat.format_trees(nodes, branches=1).withColumn("turns", chat.read_back(F.col("formatted")))
     whole = F.concat_ws("", F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))))
-    loss = F.concat_ws("", F.transform("loss_spans", lambda s: chat.unescape(F.substring("formatted", s.start + 1, s.end - s.start))))
+    loss = F.concat_ws("", F.transform(chat.cut_spans(F.col("formatted"), F.col("loss_spans")), chat.unescape))
     return got.select(F.col("conv").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 

@@ -110,6 +110,18 @@ def test_chat(spark):
     assert chat.format_trees(nodes.limit(0)).count() == 0
 
 
+def test_long_chat(spark):
+    """A chain of 300 turns with a fork at its end, a tail below a cycle, repeated nodes, and pages shorter than turns."""
+    rows = [(1, i, i - 1 or None, ("user", "assistant")[i % 2], f"t{i} é😀 <s>", 1.0) for i in range(1, 301)] + [(1, 301, 299, "assistant", "better", 5.0), (1, 300, 299, "zzz", "repeated", 9.0)]
+    rows += [(2, 1, 2, "u", "", 0.0), (2, 2, 1, "u", "", 0.0), (2, 3, 2, "u", "tail", 0.0)]
+    nodes = spark.createDataFrame(rows, "conv bigint, node bigint, parent bigint, role string, text string, score double")
+    got = {r.leaf: r for r in chat.format_trees(nodes).withColumn("turns", chat.read_back(chat.F.col("formatted"))).withColumn("loss", chat.cut_spans(chat.F.col("formatted"), chat.F.col("loss_spans"), 7)).collect()}
+    assert sorted(got) == [300, 301] and got[301]["rank"] == 1 and got[300].n_turns == got[301].n_turns == 300
+    assert [t.text for t in got[300].turns] == [f"t{i} é😀 <s>" for i in range(1, 301)]
+    assert [x.replace("\\", "") for x in got[301].loss] == [f"t{i} é😀 <s>" for i in range(1, 300, 2)] + ["better"]
+    assert chat.format_trees(nodes, 1).count() == 1
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     good = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
     for name, table in (("documents", good), ("labels", _labels(spark)), ("benchmark", _benchmark(spark))):
