@@ -14,9 +14,9 @@ from tessera.operators.vector import Vector
 __all__ = ["Exponential", "Normal", "Poisson", "StudentT", "anova_oneway", "correlation", "correlation_matrix", "covariance", "describe", "geometric_mean", "harmonic_mean", "iqr", "kurtosis", "linear_regression", "mad", "mean", "median", "mode", "skewness", "spearman_correlation", "std_dev", "sum", "t_test", "t_test_independent", "variance", "z_scores"]
 
 
-def describe(data) -> dict[str, float]:
-    """count, mean, variance, std, skewness and kurtosis in one pass."""
-    found = as_vector(data).describe()
+def describe(data, compat: bool = False) -> dict[str, float]:
+    """count, mean, variance, std, skewness (see reduce.moments for compat) and kurtosis in one pass."""
+    found = as_vector(data).describe(compat)
     if not found["count"]:
         raise ValueError("no data")
     return found
@@ -39,8 +39,8 @@ def std_dev(data) -> float:
     return describe(data)["std"]
 
 
-def skewness(data) -> float:
-    return describe(data)["skewness"]
+def skewness(data, compat: bool = False) -> float:
+    return describe(data, compat)["skewness"]
 
 
 def kurtosis(data) -> float:

@@ -3,6 +3,7 @@
 Everything here is a built-in expression, so it stays inside whole-stage code generation and can be pushed down.
 """
 
+import math
 import operator
 from functools import reduce
 
@@ -97,6 +98,16 @@ def clamp(x, lo: float, hi: float) -> Column:
     return F.when(F.isnan(x), x).otherwise(F.least(F.greatest(x, F.lit(float(lo))), F.lit(float(hi))))
 
 
+def rounded_to(x, dtype: str) -> Column:
+    """x rounded, half to even, to what float32 or float16 holds; beyond the largest it is infinite."""
+    if dtype == "float32":
+        return x.cast("float").cast("double")
+    # Ten bits behind the leading one, and 2^-24 as the least step.
+    step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.abs(x))), F.lit(-14)).cast("double") - 10)
+    near = F.rint(x / step) * step
+    return F.when(F.isnan(x) | (x == 0), x).when(F.abs(x) >= 65520, F.signum(x) * F.lit(math.inf)).otherwise(near)
+
+
 def sigmoid(x) -> Column:
     return 1 / (1 + F.exp(-x))
 

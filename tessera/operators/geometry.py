@@ -1,7 +1,7 @@
 """Distances between array columns, pairwise searches, polygons and hulls."""
 
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import ieee
@@ -62,13 +62,14 @@ def cdist(a: DataFrame, b: DataFrame, most_right: int = 100_000) -> DataFrame:
     return out
 
 
-def nearest(a: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(j, rank, i, d): the k rows of a nearest to each query.  Each task keeps the k best of its own rows for a query
-    before any shuffle (a partial aggregate), so only k rows a task and query travel."""
-    pairs = cdist(a, queries)
-    best = pairs.groupBy("j", F.spark_partition_id().alias("p")).agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "i"))), 1, k).alias("best"))
-    merged = best.groupBy("j").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
-    return merged.select("j", F.posexplode("best").alias("rank", "b")).select("j", "rank", F.col("b.i").alias("i"), F.col("b.d").alias("d"))
+def nearest(a: DataFrame, queries: DataFrame, k: int, most_right: int = 100_000) -> DataFrame:
+    """(j, rank, i, d): the k rows of a nearest to each query, the smaller id first on ties.
+
+    The rank is a window limited to k: Spark keeps the k best rows of a query in each task before the shuffle and again
+    behind it, so k rows a task and query travel and no list of pairs is ever gathered."""
+    place = Window.partitionBy("j").orderBy("d", "i")
+    pairs = cdist(a, queries, most_right).withColumn("_r", F.row_number().over(place)).filter(F.col("_r") <= k)
+    return pairs.select("j", (F.col("_r") - 1).alias("rank"), "i", "d")
 
 
 def in_polygon(x, y, poly_x, poly_y) -> Column:

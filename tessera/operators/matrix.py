@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 
 from tessera.functions import ieee, nn
 from tessera.operators import geometry, ordered, reduce
+from tessera.operators.store import stored
 from tessera.operators.vector import Vector, _spark
 
 MOST_DENSE = 16_000_000
+#: Rows of a block, and triangles of a step at most, of the factorisation of a tall matrix.
+TALL_ROWS, TALL_FAN = 4096, 16
 
 
 def _constant(values) -> Column:
@@ -31,10 +34,11 @@ class Array:
             raise ValueError(f"unknown dtype {dtype!r}")
         self.dtype = dtype
         if isinstance(data, DataFrame):
-            self.df, self._shape = data.select(F.col("row_id").cast("long").alias("row_id"), F.col("v").cast("array<double>").alias("v")), list(shape) if shape else None
+            v = F.col("v").cast("array<double>")
+            self.df, self._shape = data.select(F.col("row_id").cast("long").alias("row_id"), (v if dtype == "float64" else F.transform(v, lambda x: ieee.rounded_to(x, dtype))).alias("v")), list(shape) if shape else None
             return
         try:
-            a = np.array(data, float)
+            a = np.array(data, float).astype(dtype).astype(float)
         except ValueError as e:
             raise ValueError("ragged rows") from e
         a = a if shape is None else a.reshape(shape)
@@ -273,6 +277,11 @@ class Array:
     def copy(self) -> Array:
         return Array(self.df, self._shape, self.dtype)
 
+    def astype(self, dtype: str) -> Array:
+        """The values rounded to what dtype holds; they are computed with as doubles."""
+        return Array(self.df, self._shape, dtype)
+
+    #: Every Array is a plan: nothing runs before a result is asked for.
     lazy = copy
 
     # Files (see tessera.sources.files)
@@ -533,11 +542,11 @@ class Array:
         if k != kb or (lead_b and lead != lead_b):
             raise ValueError("shapes do not match")
         if not lead_b and kb * c <= MOST_DENSE:
-            b = other.to_numpy()
+            shared = self.df.sparkSession.sparkContext.broadcast(other.to_numpy())
 
             def product(batches):
                 for pdf in batches:
-                    pdf["v"] = list(np.array(pdf["v"].tolist(), float).reshape(len(pdf), k) @ b)
+                    pdf["v"] = list(np.array(pdf["v"].tolist(), float).reshape(len(pdf), k) @ shared.value)
                     yield pdf
 
             return Array(self.df.mapInPandas(product, "row_id long, v array<double>"), [*lead, r, c])
@@ -576,6 +585,26 @@ class Array:
                 g[r.k, r.j] = r.x
         return n, s, g
 
+    def _row_moments(self, width: int = 4096) -> tuple[int, np.ndarray, np.ndarray]:
+        """(columns, row sums, A A^T) of a matrix of few rows, from blocks of `width` columns; no row is turned into one."""
+        n = self.nrows
+        if n * n > MOST_DENSE:
+            raise ValueError(f"a matrix of rows of more than {MOST_DENSE} elements")
+
+        def local(pdf):
+            a = np.zeros((n, width))
+            a[pdf["i"].to_numpy(), pdf["j"].to_numpy() % width] = pdf["x"].to_numpy()
+            return pd.DataFrame({"k": [-1, *range(n)], "v": [a.sum(1).tolist(), *(a @ a.T).tolist()]})
+
+        parts = self.cells().groupBy(F.floor(F.col("j") / width).alias("b")).applyInPandas(local, "k int, v array<double>")
+        s, g = np.zeros(n), np.zeros((n, n))
+        for r in parts.select("k", F.posexplode("v").alias("j", "x")).groupBy("k", "j").agg(F.sum("x").alias("x")).collect():
+            if r.k == -1:
+                s[r.j] = r.x
+            else:
+                g[r.k, r.j] = r.x
+        return self.ncols, s, g
+
     def gram_matrix(self) -> Array:
         return Array(self._moments()[2])
 
@@ -586,7 +615,7 @@ class Array:
 
     def correlation_matrix(self) -> Array:
         """Of the rows; 0 where a row is constant, 1 on the diagonal."""
-        n, s, g = self.transpose()._moments()
+        n, s, g = self._row_moments()
         c = g / n - np.outer(s / n, s / n)
         d = np.sqrt(np.outer(np.diag(c), np.diag(c)))
         r = np.where(d > 0, c / np.where(d > 0, d, 1), 0.0)
@@ -627,25 +656,71 @@ class Array:
         return float(np.linalg.det(self._dense(True)))
 
     def rank(self) -> int:
-        s = np.linalg.svd(self._dense(), compute_uv=False)
+        s = np.linalg.svd(self._tall_qr()[1] if self._is_tall() else self._dense(), compute_uv=False)
         return int((s > 1e-10 * max(s[0], 1)).sum()) if len(s) else 0
 
+    def _tall_qr(self) -> tuple[DataFrame, np.ndarray]:
+        """((row_id, v): rows of Q, R) of a matrix with no more columns than rows, none of which is collected.
+
+        Rows are taken in blocks of TALL_ROWS; each is factorised in one task, their triangles are stacked and factorised
+        again TALL_FAN at a time until one is left, and Q is what the levels multiply to (tall-skinny QR).  Nothing is squared, so
+        small and zero singular values stay right.
+        """
+        m = self.ncols
+        fan = max(2, min(TALL_FAN, MOST_DENSE // (m * m)))
+
+        def factor(pdf):
+            pdf = pdf.sort_values("row_id")
+            q, r = np.linalg.qr(np.array(pdf["v"].tolist(), float).reshape(len(pdf), m))
+            q, r = np.hstack([q, np.zeros((len(q), m - q.shape[1]))]), np.vstack([r, np.zeros((m - len(r), m))])
+            ids = np.concatenate([pdf["row_id"].to_numpy(), np.arange(m)])
+            return pd.DataFrame({"b": pdf["b"].iloc[0], "q": np.arange(len(ids)) < len(pdf), "row_id": ids, "v": list(np.vstack([q, r]))})
+
+        levels, rows, blocks = [], self.df.withColumn("b", F.floor(F.col("row_id") / max(TALL_ROWS, m)).cast("long")), -(-self.nrows // max(TALL_ROWS, m))
+        while True:
+            done = stored(rows.groupBy("b").applyInPandas(factor, "b long, q boolean, row_id long, v array<double>"), "qr")
+            levels.append(done.filter("q").select("b", "row_id", "v"))
+            triangles = done.filter("not q")
+            if blocks == 1:
+                r = np.zeros((m, m))
+                for x in triangles.collect():
+                    r[x.row_id] = x.v
+                break
+            # Triangle b becomes rows b m, b m + 1, ... of the next level, of which `fan` blocks share one factorisation.
+            rows = triangles.select((F.col("b") * m + F.col("row_id")).alias("row_id"), "v").withColumn("b", F.floor(F.col("row_id") / (fan * m)).cast("long"))
+            blocks = -(-blocks // fan)
+
+        def spread(left, right):
+            c = np.zeros((m, m))
+            c[right["k"].to_numpy()] = np.array(right["w"].tolist(), float).reshape(len(right), m)
+            return pd.DataFrame({"b": left["b"], "row_id": left["row_id"], "v": list(np.array(left["v"].tolist(), float).reshape(len(left), m) @ c)}, columns=["b", "row_id", "v"])
+
+        q = levels.pop()
+        while levels:
+            # Rows b m ... of a level's Q are the factor of block b of the level below.
+            upper = q.select(F.floor(F.col("row_id") / m).cast("long").alias("b"), (F.col("row_id") % m).cast("int").alias("k"), F.col("v").alias("w"))
+            q = levels.pop().groupBy("b").cogroup(upper.groupBy("b")).applyInPandas(spread, "b long, row_id long, v array<double>")
+        return q.select("row_id", "v"), r
+
+    def _is_tall(self) -> bool:
+        return self.ndim == 2 and self.nrows > TALL_ROWS and self.ncols ** 2 <= MOST_DENSE
+
     def qr(self) -> tuple[Array, Array]:
-        """Thin Q and R with Q R = A.  Of a tall matrix, Q and R come from the Gram matrix and A is not collected."""
-        if self.size <= MOST_DENSE:
-            q, r = np.linalg.qr(self._dense())
-            return Array(q), Array(r)
-        r = np.linalg.cholesky(self._moments()[2]).T
-        return self.matmul(Array(np.linalg.inv(r))), Array(r)
+        """Thin Q and R with Q R = A.  A tall matrix stays distributed."""
+        if self._is_tall():
+            q, r = self._tall_qr()
+            return Array(q, [self.nrows, self.ncols]), Array(r)
+        q, r = np.linalg.qr(self._dense())
+        return Array(q), Array(r)
 
     def svd(self) -> tuple[Array, Vector, Array]:
-        """Thin U, s, V^T; of a tall matrix by the eigenvectors of its Gram matrix."""
-        if self.size <= MOST_DENSE:
-            u, s, vt = np.linalg.svd(self._dense(), full_matrices=False)
-            return Array(u), Vector(s), Array(vt)
-        w, v = np.linalg.eigh(self._moments()[2])
-        s, v = np.sqrt(np.maximum(w[::-1], 0)), v[:, ::-1]
-        return self.matmul(Array(v / np.where(s > 0, s, 1))), Vector(s), Array(v.T)
+        """Thin U, s, V^T.  A tall matrix stays distributed: the SVD of R turns its Q into U."""
+        if self._is_tall():
+            q, r = self._tall_qr()
+            u, s, vt = np.linalg.svd(r)
+            return Array(q, [self.nrows, self.ncols]).matmul(Array(u)), Vector(s), Array(vt)
+        u, s, vt = np.linalg.svd(self._dense(), full_matrices=False)
+        return Array(u), Vector(s), Array(vt)
 
     def eigh(self) -> tuple[Vector, Array]:
         w, v = np.linalg.eigh(self._dense(True))
@@ -658,6 +733,10 @@ class Array:
             raise ValueError("not positive definite") from e
 
     def pseudo_inv(self) -> Array:
+        if self._is_tall():
+            u, s, vt = self.svd()
+            s, v = s.to_numpy(), vt.to_numpy().T
+            return u.matmul(Array((v * np.where(s > 1e-10, 1 / np.where(s > 1e-10, s, 1), 0)).T)).transpose()
         u, s, vt = np.linalg.svd(self._dense(), full_matrices=False)
         return Array(vt.T @ np.diag(np.where(s > 1e-10, 1 / np.where(s > 1e-10, s, 1), 0)) @ u.T)
 

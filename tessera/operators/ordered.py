@@ -21,6 +21,18 @@ def with_index(df: DataFrame, *order, name: str = "idx") -> DataFrame:
     return at.withColumn("_p", part).join(F.broadcast(sizes), "_p").withColumn(name, F.col("_before") + inside).drop("_m", "_p", "_before")
 
 
+def quantiles(df: DataFrame, x: str, shares: dict[str, float]) -> DataFrame:
+    """One row with a column for each name: the exact quantile of x at that share, from 0 to 1, linear between neighbours;
+    null of no rows.  Rows are sorted and numbered and two are picked for each share; nulls do not count."""
+    at = with_index(df.select(F.col(x).alias("_x")).filter("_x is not null"), "_x", name="_i")
+    n = at.agg(F.count("*").alias("_n"))
+    place = {k: (F.col("_n") - 1) * F.lit(float(q)) for k, q in shares.items()}
+    pick = lambda p, side: F.max(F.when(F.col("_i") == side(p), F.col("_x")))
+    both = at.crossJoin(F.broadcast(n)).agg(F.first("_n").alias("_n"), *[pick(p, f).alias(f"_{s}{k}") for k, p in place.items() for s, f in (("l", F.floor), ("h", F.ceil))])
+    low, high, part = (lambda k: F.col(f"_l{k}")), (lambda k: F.col(f"_h{k}")), (lambda k: place[k] - F.floor(place[k]))
+    return both.select(*[F.when(low(k) == high(k), low(k)).otherwise((1 - part(k)) * low(k) + part(k) * high(k)).alias(k) for k in shares])
+
+
 def reindex(df: DataFrame, by: str, name: str = "idx", block: int = BLOCK) -> DataFrame:
     """df, in which `by` holds distinct longs, with a dense index 0, 1, ... in the order of `by`, which goes.
 

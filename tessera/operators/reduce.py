@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import ieee
+from tessera.operators import ordered
 
 
 def _or_nan(c) -> Column:
@@ -58,6 +59,7 @@ def pop_std_dev(x) -> Column:
 
 
 def median(x) -> Column:
+    """For groups of a bounded number of distinct values: one buffer holds them.  See ordered.quantiles for whole columns."""
     return _or_nan(F.median(x))
 
 
@@ -97,11 +99,12 @@ def all_(x) -> Column:
     return F.coalesce(F.bool_and(F.isnan(x) | (x != 0)), F.lit(True))
 
 
-def moments(x) -> dict[str, Column]:
-    """count, mean, variance, std, skewness and kurtosis of one pass."""
+def moments(x, compat: bool = False) -> dict[str, Column]:
+    """count, mean, variance, std, skewness and kurtosis of one pass.  With compat, skewness is sqrt(n) times the sum of
+    cubed distances over the cubed sample deviation: the textbook value times (n - 1)^1.5."""
     n, m = F.count(x), F.avg(x)
     var = F.coalesce(F.var_samp(x), F.lit(0.0))
-    return {"count": n, "mean": m, "variance": var, "std": F.sqrt(var), "skewness": F.coalesce(F.skewness(x), F.lit(0.0)), "kurtosis": F.coalesce(F.kurtosis(x), F.lit(0.0))}
+    return {"count": n, "mean": m, "variance": var, "std": F.sqrt(var), "skewness": F.coalesce(F.skewness(x) * (F.pow(n - 1, F.lit(1.5)) if compat else 1.0), F.lit(0.0)), "kurtosis": F.coalesce(F.kurtosis(x), F.lit(0.0))}
 
 
 def mode(df: DataFrame, x: str, idx: str) -> DataFrame:
@@ -111,8 +114,9 @@ def mode(df: DataFrame, x: str, idx: str) -> DataFrame:
 
 def mad(df: DataFrame, x: str) -> DataFrame:
     """One row `mad`: the median distance from the median."""
-    centre = df.agg(F.median(x).alias("_c"))
-    return df.crossJoin(F.broadcast(centre)).agg(_or_nan(F.median(F.abs(F.col(x) - F.col("_c")))).alias("mad"))
+    centre = ordered.quantiles(df, x, {"_c": 0.5})
+    apart = df.crossJoin(F.broadcast(centre)).select(F.abs(F.col(x) - F.col("_c")).alias("_d"))
+    return ordered.quantiles(apart, "_d", {"mad": 0.5}).select(_or_nan(F.col("mad")).alias("mad"))
 
 
 def unique(df: DataFrame, x: str, idx: str) -> DataFrame:

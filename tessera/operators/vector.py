@@ -149,8 +149,11 @@ class Vector:
 
     __str__ = __repr__
 
-    def lazy(self) -> Vector:
-        return self
+    def lazy(self):
+        """A LazyPipeline over this vector."""
+        from tessera.operators.lazy import LazyPipeline
+
+        return LazyPipeline(self)
 
     # Elementwise
     def _map(self, x: Column) -> Vector:
@@ -251,8 +254,16 @@ class Vector:
     def dot(self, other: Vector) -> float:
         return self._zip(other).agg(reduce.dot(F.col("x"), F.col("y")).alias("r")).first().r
 
+    def _quantiles(self, **shares: float) -> tuple[float, ...]:
+        return tuple(math.nan if v is None else v for v in ordered.quantiles(self.df, "x", shares).first())
+
     def percentile(self, q: float) -> float:
-        return self._one(reduce.percentile(F.col("x"), q))
+        if not 0 <= q <= 100:
+            raise ValueError("q outside [0, 100]")
+        return self._quantiles(p=q / 100)[0]
+
+    def median(self) -> float:
+        return self._quantiles(p=0.5)[0]
 
     def norm_lp(self, p: float) -> float:
         return self._one(reduce.norm_lp(F.col("x"), p))
@@ -263,8 +274,8 @@ class Vector:
     def argmax(self) -> int:
         return self._one(reduce.argmax(F.col("x"), F.col("idx")))
 
-    def describe(self) -> dict[str, float]:
-        return self.df.agg(*[c.alias(k) for k, c in reduce.moments(F.col("x")).items()]).first().asDict()
+    def describe(self, compat: bool = False) -> dict[str, float]:
+        return self.df.agg(*[c.alias(k) for k, c in reduce.moments(F.col("x"), compat).items()]).first().asDict()
 
     def mode(self) -> float:
         return reduce.mode(self.df, "x", "idx").first().mode
@@ -273,7 +284,8 @@ class Vector:
         return reduce.mad(self.df, "x").first().mad
 
     def iqr(self) -> float:
-        return self._one(reduce.percentile(F.col("x"), 75) - reduce.percentile(F.col("x"), 25))
+        low, high = self._quantiles(a=0.25, b=0.75)
+        return high - low
 
     def standardize(self) -> Vector:
         """(x - mean) / sample deviation; unchanged where that is 0."""
@@ -440,6 +452,6 @@ def _reduction(f):
 for _name, _f in ieee.ELEMENTWISE.items():
     if not hasattr(Vector, _name):
         setattr(Vector, _name, _elementwise(_f))
-for _name, _f in {"sum": reduce.total, "prod": reduce.prod, "mean": reduce.mean, "min": reduce.least, "max": reduce.most, "variance": reduce.variance, "pop_variance": reduce.pop_variance, "std_dev": reduce.std_dev, "pop_std_dev": reduce.pop_std_dev, "median": reduce.median, "norm": reduce.norm, "norm_l1": reduce.norm_l1, "norm_inf": reduce.norm_inf, "any": reduce.any_, "all": reduce.all_}.items():
+for _name, _f in {"sum": reduce.total, "prod": reduce.prod, "mean": reduce.mean, "min": reduce.least, "max": reduce.most, "variance": reduce.variance, "pop_variance": reduce.pop_variance, "std_dev": reduce.std_dev, "pop_std_dev": reduce.pop_std_dev, "norm": reduce.norm, "norm_l1": reduce.norm_l1, "norm_inf": reduce.norm_inf, "any": reduce.any_, "all": reduce.all_}.items():
     setattr(Vector, _name, _reduction(_f))
 Vector.vsum, Vector.vmin, Vector.vmax = Vector.sum, Vector.min, Vector.max

@@ -138,8 +138,8 @@ def empty_reductions(spark, sf_dir):
 
 @_query("SELECT round(quantile_cont(o_totalprice, 0.05), 3) AS p5, round(quantile_cont(o_totalprice, 0.25), 3) AS p25, round(median(o_totalprice), 3) AS p50, round(quantile_cont(o_totalprice, 0.975), 3) AS p97, round(quantile_cont(o_totalprice, 0.75) - quantile_cont(o_totalprice, 0.25), 3) AS iqr FROM orders")
 def percentiles(spark, sf_dir):
-    x = F.col("o_totalprice")
-    return _t(spark, sf_dir, "orders").agg(r(reduce.percentile(x, 5), 3).alias("p5"), r(reduce.percentile(x, 25), 3).alias("p25"), r(reduce.median(x), 3).alias("p50"), r(reduce.percentile(x, 97.5), 3).alias("p97"), r(reduce.percentile(x, 75) - reduce.percentile(x, 25), 3).alias("iqr"))
+    found = ordered.quantiles(_t(spark, sf_dir, "orders"), "o_totalprice", {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p97": 0.975})
+    return found.select(*[r(c, 3).alias(c) for c in ("p5", "p25", "p50", "p97")], r(F.col("p75") - F.col("p25"), 3).alias("iqr"))
 
 
 @_query("SELECT round(median(abs(o_totalprice - m)), 3) AS mad FROM orders, (SELECT median(o_totalprice) AS m FROM orders)")
