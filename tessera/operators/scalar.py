@@ -143,7 +143,7 @@ class Complex(complex):
 
 for _n in ("exp", "log", "sqrt", "sin", "cos"):
     setattr(Complex, _n, (lambda f: lambda self: Complex(f(self)))(getattr(cmath, _n)))
-for _n in ("__add__", "__radd__", "__sub__", "__rsub__", "__mul__", "__rmul__", "__truediv__", "__rtruediv__", "__neg__", "__pos__"):
+for _n in ("__add__", "__radd__", "__sub__", "__rsub__", "__mul__", "__rmul__", "__truediv__", "__rtruediv__", "__pow__", "__rpow__", "__neg__", "__pos__"):
     setattr(Complex, _n, (lambda f: lambda self, *o: r if (r := f(self, *map(complex, o))) is NotImplemented else Complex(r))(getattr(complex, _n)))
 
 

@@ -9,31 +9,12 @@ from tessera.operators import geometry, matrix, ordered, reduce, signal, stats,
 from tessera.operators.autograd import Node
 from tessera.operators.scalar import Dual, Quaternion, rotated
 from tessera.operators.vector import Vector
+from tessera.plans import wrappers, wrappers_matrix  # noqa: F401
+from tessera.plans.registry import QUERIES, SQL, r  # noqa: F401
+from tessera.plans.registry import query as _query
+from tessera.plans.registry import table as _t
 from tessera.streaming import moments
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def _t(spark, sf_dir: str, name: str):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def r(c, digits: int = 6):
-    """Rounded for comparison; adding 0 makes -0.0 plain."""
-    return F.round((F.col(c) if isinstance(c, str) else c) + 0.0, digits)
-
-
 def _price():
     return F.col("l_extendedprice")
 
