@@ -64,6 +64,8 @@ def shard(docs: DataFrame, shards: int = 24, seed: int = 17, id_col: str = "doc_
     place = places(docs, shards, seed, id_col, text_col, most_names).select(F.col("h").alias("__shard_ph"), F.col("t").alias("__shard_pt"), "shard", "slot")
     keyed = docs.select(*rest, _name(seed, id_col, text_col).alias("__shard_h"))
     numbered = keyed.withColumn("__shard_t", F.row_number().over(Window.partitionBy("__shard_h").orderBy(F.lit(0))) - 1)
+    # Rows are dealt by hash once: numbering and join share it, as the join need not be dealt by both of its keys.
+    docs.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     # Places of all rows are many: merged, never broadcast.
     both = numbered.join(place.hint("merge"), (F.col("__shard_h") == F.col("__shard_ph")) & (F.col("__shard_t") == F.col("__shard_pt")))
     return both.select(*rest, "shard", "slot")
