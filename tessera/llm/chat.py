@@ -61,13 +61,13 @@ def format_trees(nodes: DataFrame, branches: int | None = None) -> DataFrame:
 
     nodes: conv, node (unique in conv), parent, role, text, score.  A branch scores the mean of its nodes' scores (null: 0);
     ties go to the smaller leaf.  branches: how many of a tree to keep, None for all.  Null roles and texts are empty; a null
-    conv is a conversation of its own; a very long text or path makes one long row, as the format asks; of rows that
-    share conv and node the least by parent, role, text and score stays; extra columns are ignored; no nodes, no rows.
+    conv is a conversation of its own; a very long text or path makes one long row, as the format asks; rows that share
+    conv and node follow each other as turns, by role and text, below the least of their parents; extra columns are ignored; no nodes, no rows.
     """
     nodes = nodes.select(F.when(F.col("conv").isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col("conv").cast("string"))).alias("conv"), F.col("conv").alias("_conv"), "node", "parent", "role", "text", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    nodes = nodes.groupBy("conv", "node").agg(F.min(F.struct("parent", "role", "text", "score", "_conv")).alias("n")).select("conv", "node", "n.*")
-    listed = paths(nodes.select("conv", "node", "parent"))
-    ranked = listed.join(nodes.select("conv", "node", "score"), ["conv", "node"]).groupBy("conv", "leaf").agg(F.avg("score").alias("branch_score"), F.max("up").alias("top"))
+    narrow = cut(nodes.groupBy("conv", "node").agg(F.min("parent").alias("parent"), F.avg("score").alias("score")), "chat-nodes")
+    listed = paths(narrow.drop("score"))
+    ranked = listed.join(narrow.drop("parent"), ["conv", "node"]).groupBy("conv", "leaf").agg(F.avg("score").alias("branch_score"), F.max("up").alias("top"))
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("conv").orderBy(F.desc("branch_score"), "leaf")))
     if branches is not None:
         ranked = ranked.filter(F.col("rank") <= branches)

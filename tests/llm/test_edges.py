@@ -116,8 +116,8 @@ def test_long_chat(spark):
     rows += [(2, 1, 2, "u", "", 0.0), (2, 2, 1, "u", "", 0.0), (2, 3, 2, "u", "tail", 0.0)]
     nodes = spark.createDataFrame(rows, "conv bigint, node bigint, parent bigint, role string, text string, score double")
     got = {r.leaf: r for r in chat.format_trees(nodes).withColumn("turns", chat.read_back(chat.F.col("formatted"))).withColumn("loss", chat.cut_spans(chat.F.col("formatted"), chat.F.col("loss_spans"), 7)).collect()}
-    assert sorted(got) == [300, 301] and got[301]["rank"] == 1 and got[300].n_turns == got[301].n_turns == 300
-    assert [t.text for t in got[300].turns] == [f"t{i} é😀 <s>" for i in range(1, 301)]
+    assert sorted(got) == [300, 301] and got[301]["rank"] == 2 and got[300].n_turns == 301 and got[301].n_turns == 300
+    assert [t.text for t in got[300].turns] == [f"t{i} é😀 <s>" for i in range(1, 301)] + ["repeated"]
     assert [x.replace("\\", "") for x in got[301].loss] == [f"t{i} é😀 <s>" for i in range(1, 300, 2)] + ["better"]
     assert chat.format_trees(nodes, 1).count() == 1
 
