@@ -9,7 +9,7 @@ from tessera.llm.common import column_bytes, hashed_words, mix64, small_batches
 #: Characters that count as symbols (fixed values).
 SYMBOLS = b"#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-RATIOS = ("r_symbols", "r_upper", "r_digit", "r_marks", "r_dup_lines", "r_repeat", "r_distinct", "mean_word", "r_short", "words_a_line", "r_stop")
+RATIOS = ("r_symbols", "r_upper", "r_digit", "r_marks", "r_dup_lines", "r_repeat", "r_distinct", "mean_word", "r_short", "words_a_line", "r_upto3")
 _SYMBOL, _UPPER, _DIGIT, _MARK = (np.zeros(256, bool) for _ in range(4))
 _SYMBOL[list(SYMBOLS)] = True
 _UPPER[65:91] = True
@@ -62,7 +62,11 @@ def text_stats(raw: np.ndarray, h: np.ndarray, starts: np.ndarray, ends: np.ndar
 
 
 def with_stats(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep` of docs, BASE as long and RATIOS as double, for whole texts.  A null text counts as empty."""
+    """The columns `keep` of docs, BASE as long and RATIOS as double, for whole texts, very long ones included.
+
+    A null or empty text has counts and shares of 0; every row gives a row, repeated ones alike; an empty table gives an
+    empty result; other columns are ignored.
+    """
     small_batches(docs.sparkSession)
     kept = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("_text"))
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"{c} bigint" for c in BASE] + [f"{c} double" for c in RATIOS])

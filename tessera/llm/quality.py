@@ -8,7 +8,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from tessera.llm.common import column_bytes, held_out, hashed_words, mix64, small_batches
 from tessera.llm.features import text_stats
 
-MOST_ROWS, DIMENSIONS, RANK, SHARPNESS, FIT_BLOCK = 4_000, 4_096, 32, 24.0, 256
+MOST_ROWS, DIMENSIONS, RANK, SHARPNESS, FIT_BLOCK, NEIGHBOURS = 4_000, 4_096, 32, 24.0, 256, 200
 _BUCKETS = np.array([0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9])
 
 
@@ -85,8 +85,9 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> dict:
 
 
 def score_texts(terms: list, model: dict) -> np.ndarray:
-    """Scores of texts: the share of good labels among all labelled vectors, each weighted by exp(SHARPNESS * cosine),
-    classes balanced.  The products of a block of texts with all labelled vectors are exact."""
+    """Scores of texts: the share of good labels among the NEIGHBOURS labelled vectors nearest by cosine, each weighted by
+    exp(SHARPNESS * cosine), classes balanced.  The products of a block of texts with all labelled vectors are exact; of
+    vectors tied for the last place any may vote."""
     out = np.full(len(terms), model["prior"])
     if not len(model["vectors"]):
         return out
@@ -96,14 +97,18 @@ def score_texts(terms: list, model: dict) -> np.ndarray:
         block = terms[at : at + 256]
         v = np.stack([(w * model["idf"][t]) @ model["axes"][t] for t, w in block])
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-        near = np.exp(SHARPNESS * (v @ model["vectors"].T - 1)) * weight
-        out[at : at + 256] = (near * model["votes"]).sum(1) / np.maximum(near.sum(1), 1e-300)
+        cosine, k = v @ model["vectors"].T, min(NEIGHBOURS, len(weight))
+        who = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+        near = np.exp(SHARPNESS * (np.take_along_axis(cosine, who, 1) - 1)) * weight[who]
+        out[at : at + 256] = (near * model["votes"][who]).sum(1) / np.maximum(near.sum(1), 1e-300)
     return np.clip(np.nan_to_num(out, nan=model["prior"]), 0, 1)
 
 
 def score(docs: DataFrame, model: dict, text_col: str = "text", out: str = "score") -> DataFrame:
     """docs with a column `out` (replaced if there), from 0 to 1: the higher, the likelier quality 1.  Whole texts are read;
-    a null text scores as an empty one.  Only the text is used: no label, language, source or id."""
+    a null text scores as an empty one, without words but with statistics; a very long text is one vector like any other;
+    repeated rows score alike; an empty table gives an empty result.  Only the text is used: no label, language, source or
+    id."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)

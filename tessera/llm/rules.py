@@ -81,7 +81,12 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray) -> list[list[Condition]]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> list[list[Condition]]:
-    """Learn from at most `most_rows` labelled documents outside the held-out third, those first by a hash of their id."""
+    """Learn from at most `most_rows` labelled documents outside the held-out third, those first by a hash of their id.
+
+    At most MOST_RULES rules of MOST_CONDITIONS conditions are learnt, and a condition's threshold is one of about 64
+    midpoints between values.  Null labels and ids teach nothing, rows that share an id are one; without labelled rows there
+    are no rules.
+    """
     known = labels.filter(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     # A sort by hash with a limit: the driver gets at most most_rows rows of statistics.
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)

@@ -6,8 +6,6 @@ of one of its conjunctions.  Only candidates are searched with the expression.
 searched everywhere.
 """
 
-import re._constants as sre
-import re._parser as parser
 from dataclasses import dataclass
 from functools import reduce
 
@@ -48,36 +46,113 @@ MORE = (
 )
 
 
-def _runs(tree) -> list[set[str]]:
-    """Consecutive sets of lower-case strings that a match must contain; '' stands between what is not contiguous."""
+class _Other(Exception):
+    """The pattern holds more than literals, classes, groups, alternatives and repeats."""
+
+
+def _parse(p: str) -> list[list[tuple]]:
+    """The alternatives of a pattern, each a list of (what, least, most): what is a set of characters, None where that is
+    of no use to an index, or a list of alternatives.  Means the same in Java's grammar and in RE2's."""
+    at = 0
+
+    def one() -> str:
+        nonlocal at
+        if p[at] != "\\":
+            at += 1
+            return p[at - 1]
+        if p[at + 1 : at + 2] == "x":
+            at += 4
+            return chr(int(p[at - 2 : at], 16))
+        at += 2
+        if at > len(p) or p[at - 1].isalnum():
+            raise _Other
+        return p[at - 1]
+
+    def members() -> set | None:
+        nonlocal at
+        at += 1
+        if p[at] in "^[" or "&&" in p[at:]:
+            raise _Other
+        found = set()
+        while p[at] != "]":
+            if p[at] == "[":
+                raise _Other
+            first = last = one()
+            if p[at] == "-" and p[at + 1] != "]":
+                at += 1
+                last = one()
+            found |= {chr(c) for c in range(ord(first), ord(last) + 1)}
+        at += 1
+        return found
+
+    def repeat() -> tuple[int, float]:
+        nonlocal at
+        least, most = 1, 1
+        if at < len(p) and p[at] in "?*+":
+            least, most = {"?": (0, 1), "*": (0, float("inf")), "+": (1, float("inf"))}[p[at]]
+            at += 1
+        elif at < len(p) and p[at] == "{":
+            end = p.index("}", at)
+            lo, comma, hi = p[at + 1 : end].partition(",")
+            least, most, at = int(lo), float(hi or "inf") if comma else int(lo), end + 1
+        else:
+            return 1, 1
+        if at < len(p) and p[at] in "?+*":
+            raise _Other
+        return least, most
+
+    def alternatives() -> list[list[tuple]]:
+        nonlocal at
+        found = [[]]
+        while at < len(p) and p[at] != ")":
+            if p[at] == "|":
+                at += 1
+                found.append([])
+                continue
+            if p[at] == "(":
+                if p[at + 1] == "?":
+                    raise _Other
+                at += 1
+                what = alternatives()
+                at += 1
+            elif p[at] in "^$":
+                raise _Other
+            elif p[at] == ".":
+                at, what = at + 1, None
+            else:
+                what = members() if p[at] == "[" else {one()}
+            found[-1].append((what, *repeat()))
+        return found
+
+    return alternatives()
+
+
+def _runs(items: list[tuple]) -> list[set[str]]:
+    """Consecutive sets of lower-case strings that a match must contain; a run ends where what follows is not contiguous."""
     done, now = [], {""}
-
-    def close():
-        nonlocal now
-        done.append(now)
-        now = {""}
-
-    for op, arg in tree:
-        if op is sre.LITERAL:
-            now = {x + chr(arg).lower() for x in now}
-        elif op is sre.IN and all(k is sre.LITERAL for k, _ in arg) and len(chars := {chr(v).lower() for _, v in arg}) <= 5:
-            now = {x + c for x in now for c in chars}
-        elif op is sre.SUBPATTERN and len(inner := _runs(arg[3])) == 1:
-            now = {x + y for x in now for y in inner[0]}
-        elif op is sre.BRANCH and all(len(_runs(b)) == 1 for b in arg[1]):
-            now = {x + y for x in now for b in arg[1] for y in _runs(b)[0]}
-        elif op is sre.MAX_REPEAT and arg[:2] == (0, 1) and len(inner := _runs(arg[2])) == 1 and max(map(len, inner[0])) == 1 and len(inner[0]) == 1:
-            now = now | {x + y for x in now for y in inner[0]}
+    for what, least, most in items:
+        if isinstance(what, list):
+            inner = [_runs(x) for x in what] if least == most == 1 else [[], []]
+            some = {y for r in inner for y in r[0]} if all(len(r) == 1 for r in inner) else None
+        else:
+            some = {c.lower() for c in what} if what else None
+            some = some if some and len(some) <= 5 and (least == most == 1 or (len(some) == 1 and (least, most) == (0, 1))) else None
+        if some is None:
+            done.append(now)
+            now = {""}
         else:
-            close()
-    close()
-    return done if len(done) > 1 else done[:1]
+            now = {x + y for x in now for y in some} | (now if least == 0 else set())
+    return [*done, now]
 
 
 def trigram_query(pattern: str) -> list[frozenset[str]]:
     """Conjunctions of trigrams, one of which every match holds; empty if there are no mandatory trigrams."""
+    try:
+        found = _parse(pattern)
+    except (_Other, IndexError, ValueError):
+        return []
     whole = [frozenset()]
-    for run in _runs(parser.parse(pattern)):
+    for run in _runs([(found, 1, 1)] if len(found) > 1 else found[0]):
         if all(len(x) >= 3 for x in run):
             whole = [a | {x[i : i + 3] for i in range(len(x) - 2)} for a in whole for x in run]
     whole = list(dict.fromkeys(whole))

@@ -55,6 +55,10 @@ def test_trigram_queries():
     by = {r.kind: trigram_query(r.pattern) for r in BASE + MORE}
     assert by["hex"] == [] and by["access"] == [frozenset({"aki", "kia"})] and len(by["assign"]) == 6 and frozenset({"tok", "oke", "ken"}) in by["assign"]
     assert by["pem"] and by["slack"] and by["jwt"]
+    assert len(by["github"]) == len(by["slack"]) == 5 and frozenset({"ghp", "hp_"}) in by["github"] and by["jwt"] == [frozenset({"eyj", ".ey"})]
+    assert trigram_query(r"abc(def|x[yY]z)?g") == [frozenset({"abc"})] and trigram_query(r"ab\.c+") == [frozenset({"ab."})] and trigram_query("abcd|bcde") == [frozenset({"abc", "bcd"}), frozenset({"bcd", "cde"})]
+    # What the small parser does not know is searched everywhere.
+    assert all(trigram_query(p) == [] for p in (r"(?i)secret", r"^secret", r"sec[^r]et", r"\bsecret", "secret(?=x)", "abc*?def"))
 
 
 def test_near_duplicates(spark, docs):
