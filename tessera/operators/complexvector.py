@@ -39,6 +39,7 @@ class ComplexVector:
         self.df = signal.mask(self.df.join(flags, "idx"), F.col("_keep") != 0).drop("_keep")
 
     def to_list(self) -> list[complex]:
+        self.to_mags()._bounded()
         return [complex(r.re, r.im) for r in self.df.orderBy("idx").collect()]
 
     def __repr__(self) -> str:

@@ -75,6 +75,7 @@ class LazyPipeline:
         return Vector(ordered.reindex(self.df.withColumnRenamed("idx", "_i"), "_i"))
 
     def to_tuple(self) -> tuple[float, ...]:
+        self.source._bounded()
         return tuple(r.x for r in self.df.orderBy("idx").collect())
 
     def __len__(self) -> int:

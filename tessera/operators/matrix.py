@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tessera.functions import ieee, nn
 from tessera.operators import geometry, ordered, reduce
 from tessera.operators.store import stored
-from tessera.operators.vector import Vector, _spark
+from tessera.operators.vector import MOST_COLLECTED, Vector, _spark
 
 MOST_DENSE = 16_000_000
 #: Rows of a block, and triangles of a step at most, of the factorisation of a tall matrix.
@@ -198,6 +198,7 @@ class Array:
         return list(self.df.filter(F.col("row_id") == i).first().v)
 
     def get_col(self, j: int) -> list[float]:
+        self._bounded(self.size // self.shape[-1])
         return [r.x for r in self.df.orderBy("row_id").select(F.get("v", F.lit(j)).alias("x")).collect()]
 
     def __getitem__(self, key):
@@ -228,6 +229,7 @@ class Array:
 
     # Conversion
     def to_numpy(self) -> np.ndarray:
+        self._bounded(self.size)
         rows = [r.v for r in self.df.orderBy("row_id").collect()]
         return np.array(rows, float).reshape(self.shape)
 
@@ -421,7 +423,12 @@ class Array:
     def normalize(self, mean, std) -> Array:
         return (self - mean) / std
 
+    def _bounded(self, n: int) -> None:
+        if n > MOST_COLLECTED:
+            raise MemoryError(f"{n} elements; collecting is limited to {MOST_COLLECTED}")
+
     def _flat_mask(self, f) -> list[bool]:
+        self._bounded(self.size)
         return [x for r in self.df.orderBy("row_id").select(F.transform("v", f).alias("m")).collect() for x in r.m]
 
     def gt(self, t):

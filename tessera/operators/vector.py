@@ -97,9 +97,12 @@ class Vector:
 
     ndim = 1
 
-    def to_list(self, most: int = MOST_COLLECTED) -> list[float]:
+    def _bounded(self, most: int = MOST_COLLECTED) -> None:
         if len(self) > most:
             raise MemoryError(f"{len(self)} elements; collecting is limited to {most}")
+
+    def to_list(self, most: int = MOST_COLLECTED) -> list[float]:
+        self._bounded(most)
         return [r.x for r in self.df.orderBy("idx").collect()]
 
     tolist = to_list
@@ -300,10 +303,13 @@ class Vector:
 
     # Masks and filters
     def _mask(self, test: Column) -> list[bool]:
+        """A Python list of at most MOST_COLLECTED; gt_mask and the like give Vectors of any length."""
+        self._bounded()
         return [r.x for r in self.df.select("idx", test.alias("x")).orderBy("idx").collect()]
 
     def __eq__(self, other):
         if isinstance(other, Vector):
+            self._bounded()
             return [r.r for r in self._zip(other).select("idx", ieee.compare(F.col("x"), "eq", F.col("y")).alias("r")).orderBy("idx").collect()]
         return self._mask(ieee.compare(F.col("x"), "eq", float(other)))
 
@@ -403,6 +409,7 @@ class Vector:
         return Vector(ordered.with_index(self.df.select("x"), F.desc("x")), self._size)
 
     def argsort(self) -> list[int]:
+        self._bounded()
         return [r.idx for r in self.df.orderBy("x", "idx").select("idx").collect()]
 
     def reverse(self) -> Vector:

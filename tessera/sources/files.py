@@ -1,12 +1,12 @@
 """Matrix files: CSV, raw little-endian doubles, a headed binary format and safetensors.
 
-CSV goes through Spark's reader.  The binary forms are read by ranges of rows, each in its own task, from a path that
-executors can open (a shared mount); writing collects a matrix of at most MOST_DENSE elements.
+CSV goes through Spark's reader.  The binary forms are read by ranges of rows, each in its own task, from a path or a URI
+(file, hdfs, s3, gs) that executors can open; writing streams the rows through the driver, one partition at a time, so a
+matrix may be larger than its memory.
 """
 
 import json
 import math
-import os
 import struct
 
 import numpy as np
@@ -20,6 +20,22 @@ from tessera.operators.matrix import Array
 MAGIC, VERSION = b"RMTH", 1
 
 
+def _opened(path: str, mode: str = "r"):
+    """A stream of a path or URI: of bytes to read at any place, or to write."""
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    return store.open_input_file(at) if mode == "r" else store.open_output_stream(at)
+
+
+def _write(a: Array, path: str, head: bytes) -> None:
+    """head, then the elements by row, as little-endian doubles."""
+    with _opened(path, "w") as f:
+        f.write(head)
+        for r in a.df.orderBy("row_id").select("v").toLocalIterator():
+            f.write(struct.pack(f"<{len(r.v)}d", *r.v))
+
+
 def read_csv(spark: SparkSession, path: str, header: bool = False, bad: float = math.nan) -> tuple[Array, list[str]]:
     """(matrix, column names).  Blank lines are skipped and what is no number becomes `bad`."""
     raw = spark.read.option("header", header).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
@@ -46,7 +62,7 @@ def _rows(spark: SparkSession, path: str, offset: int, shape, start: int = 0, en
         for b in batches:
             for k in b["id"]:
                 lo, hi = start + k * step, min(start + (k + 1) * step, end)
-                with open(path, "rb") as f:
+                with _opened(path) as f:
                     f.seek(offset + lo * m * 8)
                     a = np.frombuffer(f.read((hi - lo) * m * 8), "<f8").reshape(hi - lo, m)
                 yield pd.DataFrame({"row_id": np.arange(lo - start, hi - start), "v": list(a)})
@@ -57,7 +73,7 @@ def _rows(spark: SparkSession, path: str, offset: int, shape, start: int = 0, en
 
 def header(path: str) -> tuple[list[int], int] | None:
     """(shape, offset of the data) of a headed file, None of others."""
-    with open(path, "rb") as f:
+    with _opened(path) as f:
         head = f.read(7)
         if head[:4] != MAGIC:
             return None
@@ -66,9 +82,7 @@ def header(path: str) -> tuple[list[int], int] | None:
 
 
 def save(a: Array, path: str) -> None:
-    with open(path, "wb") as f:
-        f.write(MAGIC + bytes([VERSION]) + struct.pack("<H", a.ndim) + struct.pack(f"<{a.ndim}Q", *a.shape))
-        f.write(a._dense().astype("<f8").tobytes())
+    _write(a, path, MAGIC + bytes([VERSION]) + struct.pack("<H", a.ndim) + struct.pack(f"<{a.ndim}Q", *a.shape))
 
 
 def load(spark: SparkSession, path: str) -> Array:
@@ -80,24 +94,27 @@ def load(spark: SparkSession, path: str) -> Array:
 
 
 def save_bin(a: Array, path: str) -> None:
-    with open(path, "wb") as f:
-        f.write(a._dense().astype("<f8").tobytes())
+    _write(a, path, b"")
+
+
+def _bytes_of(path: str) -> int:
+    with _opened(path) as f:
+        return f.size()
 
 
 def load_bin(spark: SparkSession, path: str, rows: int, cols: int) -> Array:
-    if os.path.getsize(path) < 8 * rows * cols:
+    if _bytes_of(path) < 8 * rows * cols:
         raise ValueError("the file is shorter than its shape")
     return _rows(spark, path, 0, [rows, cols])
 
 
 def save_safetensors(a: Array, path: str, key: str) -> None:
     head = json.dumps({key: {"dtype": "F64", "shape": a.shape, "data_offsets": [0, 8 * a.size]}}).encode()
-    with open(path, "wb") as f:
-        f.write(struct.pack("<Q", len(head)) + head + a._dense().astype("<f8").tobytes())
+    _write(a, path, struct.pack("<Q", len(head)) + head)
 
 
 def load_safetensors(spark: SparkSession, path: str, key: str) -> Array:
-    with open(path, "rb") as f:
+    with _opened(path) as f:
         n = struct.unpack("<Q", f.read(8))[0]
         entry = json.loads(f.read(n)).get(key)
     if not entry or entry["dtype"] != "F64":
@@ -115,7 +132,10 @@ class LazyArray:
     def open(cls, spark: SparkSession, path: str) -> "LazyArray":
         if path.endswith(".csv"):
             return cls(spark, path)
-        found = header(path) if os.path.isfile(path) else None
+        try:
+            found = header(path)
+        except OSError:
+            found = None
         if not found:
             raise ValueError("neither CSV nor a headed matrix file")
         return cls(spark, path, *found)
@@ -195,7 +215,7 @@ class MmapArray(LazyArray):
 
     @classmethod
     def mmap(cls, spark: SparkSession, path: str, rows: int, cols: int) -> "MmapArray":
-        if os.path.getsize(path) < 8 * rows * cols:
+        if _bytes_of(path) < 8 * rows * cols:
             raise ValueError("the file is shorter than its shape")
         return cls(spark, path, [rows, cols])
 
