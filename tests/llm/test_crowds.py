@@ -44,6 +44,24 @@ def test_crowds_are_compared_whole(spark):
     assert [got[i] for i in range(len(texts))] == want.tolist()
 
 
+def test_pairs_in_one_crowd(spark):
+    """Pairs of near copies around one base: texts share enough to be one crowd, but only those of a pair are linked."""
+    rng, texts = np.random.default_rng(7), []
+    base = [f"b{i}" for i in range(200)]
+    for p in range(400):
+        w = list(base)
+        for k in rng.choice(200, 9, replace=False):
+            w[k] = f"p{p}x{k}"
+        texts.append(" ".join(w))
+        for k in rng.choice(200, 3, replace=False):
+            w[k] = f"q{p}x{k}"
+        texts.append(" ".join(w))
+    want = _brute(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, 4).collect()}
+    assert len(set(want)) > 300 and [got[i] for i in range(len(texts))] == want.tolist()
+
+
 def test_joining():
     rng = np.random.default_rng(6)
     base = np.arange(100, dtype=np.uint64)

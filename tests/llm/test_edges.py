@@ -129,4 +129,11 @@ def test_pipeline_stages(spark, docs, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, good, str(tmp_path)).count() <= good.count() and stage(spark, good.limit(0), str(tmp_path)).count() == 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    # Null ids and repeated rows as they come.
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        assert 0 < out.count() <= docs.count() and (out.columns == docs.columns if k < 4 else {"shard", "slot"} <= set(out.columns))
+    assert sorted(r.doc_id for r in corpus_pipeline.deduplicate(spark, docs, str(tmp_path)).collect() if r.doc_id) == [1, 2, 3, 4, 6, 6, 7, 8, 9, 10]
+    docs.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
     assert set(queries.SQL) <= set(queries.QUERIES)
