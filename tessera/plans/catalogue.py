@@ -1,7 +1,5 @@
 """The registered queries of the numeric engine, each with the SQL that must give the same rows."""
 
-import functools
-
 from pyspark.sql import functions as F
 
 from tessera.functions import distributions, ieee, nn, special
@@ -10,7 +8,7 @@ from tessera.operators.autograd import Node
 from tessera.operators.scalar import Dual, Quaternion, rotated
 from tessera.operators.vector import Vector
 from tessera.plans import wrappers, wrappers_matrix  # noqa: F401
-from tessera.plans.registry import QUERIES, SQL, r  # noqa: F401
+from tessera.plans.registry import QUERIES, SQL, integral, r  # noqa: F401
 from tessera.plans.registry import query as _query
 from tessera.plans.registry import table as _t
 from tessera.streaming import moments
@@ -133,16 +131,10 @@ def mode_first(spark, sf_dir):
     return reduce.mode(_t(spark, sf_dir, "lineitem").withColumn("i", F.col("l_orderkey") * 10 + F.col("l_linenumber")), "l_quantity", "i")
 
 
-@_query("SELECT round(sqrt(sum(l_quantity * l_quantity)), 4) AS l2, round(sum(abs(l_quantity)), 2) AS l1, max(abs(l_quantity)) AS linf, round(pow(sum(pow(abs(l_quantity), 3)), 1.0 / 3), 4) AS l3, round(sum(l_quantity * l_tax), 3) AS dot, round(product(CASE WHEN l_orderkey < 20 THEN 1 + l_tax ELSE 1 END), 6) AS prod FROM lineitem")
+@_query("SELECT round(sqrt(sum(l_quantity * l_quantity)), 4) AS l2, round(sum(abs(l_quantity)), 2) AS l1, max(abs(l_quantity)) AS linf, round(pow(sum(pow(abs(l_quantity), 3)), 1.0 / 3), 4) AS l3, round(sum(l_quantity * l_tax), 3) AS dot, round(product(1 + l_tax / 1e6), 8) AS prod FROM lineitem")
 def norms_dot_prod(spark, sf_dir):
     q = F.col("l_quantity")
-    return _t(spark, sf_dir, "lineitem").agg(r(reduce.norm(q), 4).alias("l2"), r(reduce.norm_l1(q), 2).alias("l1"), reduce.norm_inf(q).alias("linf"), r(reduce.norm_lp(q, 3.0), 4).alias("l3"), r(reduce.dot(q, F.col("l_tax")), 3).alias("dot"), r(reduce.prod(F.when(F.col("l_orderkey") < 20, 1 + F.col("l_tax")).otherwise(1.0))).alias("prod"))
-
-
-@_query("SELECT round(product(1 + l_tax / 1e6), 8) AS prod FROM lineitem")
-def prod_whole(spark, sf_dir):
-    """The product over every row, of factors near 1."""
-    return _t(spark, sf_dir, "lineitem").agg(r(reduce.prod(1 + F.col("l_tax") / 1e6), 8).alias("prod"))
+    return _t(spark, sf_dir, "lineitem").agg(r(reduce.norm(q), 4).alias("l2"), r(reduce.norm_l1(q), 2).alias("l1"), reduce.norm_inf(q).alias("linf"), r(reduce.norm_lp(q, 3.0), 4).alias("l3"), r(reduce.dot(q, F.col("l_tax")), 3).alias("dot"), r(reduce.prod(1 + F.col("l_tax") / 1e6), 8).alias("prod"))
 
 
 @_query("SELECT (SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 1) AS argmin, (SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 1) AS argmax")
@@ -256,11 +248,15 @@ def densities(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", r(distributions.Normal(25, 10).pdf(s), 8).alias("n_pdf"), r(e.cdf(s), 8).alias("e_cdf"), r(e.pdf(s), 8).alias("e_pdf"), r(distributions.Poisson(20).pmf(s), 8).alias("p_pmf"))
 
 
-@_query()
+@_query(f"""SELECT p_partkey, round(p_size / 51.0, 6) AS normal, round(p_size / 51.0, 6) AS student, round(0.5 + c, 6) AS student_cdf, round(-ln(1 - p_size / 51.0) / 2, 6) AS exponential, round(q, 6) AS poisson_cdf
+FROM part JOIN (SELECT s, {integral("exp(lgamma(3.0) - lgamma(2.5)) / sqrt(5 * pi()) * pow(1 + $t * $t / 5, -3)", "0", "s / 51.0")} AS c, (SELECT sum(exp(k * ln(20.0) - 20 - lgamma(k + 1.0))) FROM range(51) u(k) WHERE k <= s) AS q FROM (SELECT DISTINCT p_size AS s FROM part)) ON s = p_size""")
 def quantiles(spark, sf_dir):
-    """Cumulative and quantile functions; the tests hold them against known values."""
-    p = F.col("p_size") / 51.0
-    return _t(spark, sf_dir, "part").select("p_partkey", distributions.Normal().ppf(p).alias("normal"), distributions.StudentT(0, 1, 5).ppf(p).alias("student"), distributions.StudentT(0, 1, 5).cdf(p).alias("student_cdf"), distributions.Exponential(2).ppf(p).alias("exponential"), distributions.Poisson(20).cdf(F.col("p_size").cast("double")).alias("poisson_cdf"))
+    """Cumulative and quantile functions: a quantile's cumulative share is what was asked for."""
+    p, normal, student = F.col("p_size") / 51.0, distributions.Normal(), distributions.StudentT(0, 1, 5)
+    return _t(spark, sf_dir, "part").select(
+        "p_partkey", r(normal.cdf(normal.ppf(p))).alias("normal"), r(student.cdf(student.ppf(p))).alias("student"), r(student.cdf(p)).alias("student_cdf"),
+        r(distributions.Exponential(2).ppf(p)).alias("exponential"), r(distributions.Poisson(20).cdf(F.col("p_size").cast("double"))).alias("poisson_cdf"),
+    )
 
 
 @_query("SELECT p_partkey, round(gamma(p_size / 10.0), 6) AS gamma, round(lgamma(p_size / 10.0), 6) AS ln_gamma FROM part")
@@ -269,10 +265,11 @@ def gamma_family(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", r(special.gamma(s)).alias("gamma"), r(special.ln_gamma(s)).alias("ln_gamma"))
 
 
-@_query()
+@_query(f"""SELECT p_partkey, round(e, 6) AS erf, round(ln(z) - 1 / (2 * z) - 1 / (12 * z * z) + 1 / (120 * pow(z, 4)) - 1 / (252 * pow(z, 6)) - down, 6) AS digamma
+FROM part JOIN (SELECT s, s / 10.0 + 10 AS z, 2 / sqrt(pi()) * {integral("exp(-$t * $t)", "0", "s / 10.0")} AS e, (SELECT sum(1 / (s / 10.0 + k)) FROM range(10) u(k)) AS down FROM (SELECT DISTINCT p_size AS s FROM part)) ON s = p_size""")
 def erf_digamma(spark, sf_dir):
     s = F.col("p_size") / 10.0
-    return _t(spark, sf_dir, "part").select("p_partkey", special.erf(s).alias("erf"), special.digamma(s).alias("digamma"))
+    return _t(spark, sf_dir, "part").select("p_partkey", r(special.erf(s)).alias("erf"), r(special.digamma(s)).alias("digamma"))
 
 
 def _vectors(spark, sf_dir):
@@ -290,104 +287,66 @@ def distances(spark, sf_dir):
     return j.select(F.col("id").alias("vec_id"), r(geometry.euclidean("v", "w"), 5).alias("l2"), r(geometry.manhattan("v", "w"), 5).alias("l1"), r(geometry.minkowski("v", "w", 3.0), 5).alias("l3"), r(geometry.cosine("v", "w"), 5).alias("cosine"), r(geometry.dot("v", "w"), 5).alias("dot"))
 
 
-@_query("SELECT a.vec_id AS i, b.vec_id AS j, round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS d FROM embeddings a, embeddings b WHERE b.vec_id < 20")
-def cdist(spark, sf_dir):
-    """Twenty stated query vectors against every vector."""
-    e = _vectors(spark, sf_dir)
-    return geometry.cdist(e, e.filter("id < 20")).select("i", "j", r("d", 5).alias("d"))
-
-
-@_query("SELECT j, CAST(k - 1 AS INTEGER) AS rank, i FROM (SELECT b.vec_id AS j, a.vec_id AS i, row_number() OVER (PARTITION BY b.vec_id ORDER BY list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), a.vec_id) AS k FROM embeddings a, embeddings b WHERE b.vec_id < 20) WHERE k <= 5")
-def nearest(spark, sf_dir):
-    """The five nearest vectors of each of twenty queries."""
-    e = _vectors(spark, sf_dir)
-    return geometry.nearest(e, e.filter("id < 20"), 5).select("j", "rank", "i")
-
-
 @_query("SELECT a.vec_id AS i, b.vec_id AS j, round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS d FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0")
-def cdist_whole(spark, sf_dir):
+def cdist(spark, sf_dir):
     """Every vector whose id is divisible by 50 against every vector."""
     e = _vectors(spark, sf_dir)
     return geometry.cdist(e, e.filter("id % 50 = 0")).select("i", "j", r("d", 5).alias("d"))
 
 
 @_query("SELECT j, CAST(k - 1 AS INTEGER) AS rank, i FROM (SELECT b.vec_id AS j, a.vec_id AS i, row_number() OVER (PARTITION BY b.vec_id ORDER BY list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), a.vec_id) AS k FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0) WHERE k <= 5")
-def nearest_whole(spark, sf_dir):
+def nearest(spark, sf_dir):
     """The five nearest vectors of each vector whose id is divisible by 50."""
     e = _vectors(spark, sf_dir)
     return geometry.nearest(e, e.filter("id % 50 = 0"), 5).select("j", "rank", "i")
 
 
-_CELL = "(SELECT vec_id AS i, unnest(range(8)) AS j, unnest(CAST(embedding[1:8] AS DOUBLE[])) AS x FROM embeddings)"
-
-
-_WIDE = "(SELECT vec_id AS i, unnest(range(len(embedding))) AS j, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings)"
+_CELL = "(SELECT vec_id AS i, unnest(range(len(embedding))) AS j, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings)"
 
 
-def _eight(spark, sf_dir):
-    return matrix.Array(_vectors(spark, sf_dir).select(F.col("id").alias("row_id"), F.slice("v", 1, 8).alias("v")))
-
-
-def _wide(spark, sf_dir):
+def _matrix(spark, sf_dir):
     """The whole vectors."""
     return matrix.Array(_vectors(spark, sf_dir).select(F.col("id").alias("row_id"), "v"))
 
 
-def _both(sql: str):
-    """Registers f on the first eight components, and as f_whole on all: f takes the rows as its last argument."""
-
-    def add(f):
-        for name, cell, rows in ((f.__name__, _CELL, _eight), (f"{f.__name__}_whole", _WIDE, _wide)):
-            QUERIES[name], SQL[name] = functools.partial(f, rows=rows), sql.replace(_CELL, cell)
-        return f
-
-    return add
+@_query(f"SELECT CAST(a.j AS INTEGER) AS i, CAST(b.j AS INTEGER) AS j, round(sum(a.x * b.x) + 0.0, 4) AS x FROM {_CELL} a JOIN {_CELL} b USING (i) GROUP BY a.j, b.j")
+def gram(spark, sf_dir):
+    return _matrix(spark, sf_dir).gram_matrix().cells().select(F.col("i").cast("int").alias("i"), "j", r("x", 4).alias("x"))
 
 
-@_both(f"SELECT CAST(a.j AS INTEGER) AS i, CAST(b.j AS INTEGER) AS j, round(sum(a.x * b.x) + 0.0, 4) AS x FROM {_CELL} a JOIN {_CELL} b USING (i) GROUP BY a.j, b.j")
-def gram(spark, sf_dir, rows):
-    return rows(spark, sf_dir).gram_matrix().cells().select(F.col("i").cast("int").alias("i"), "j", r("x", 4).alias("x"))
+@_query(f"SELECT CAST(a.j AS INTEGER) AS i, CAST(b.j AS INTEGER) AS j, round(covar_samp(a.x, b.x) + 0.0, 6) AS x FROM {_CELL} a JOIN {_CELL} b USING (i) GROUP BY a.j, b.j")
+def covariance_matrix(spark, sf_dir):
+    return _matrix(spark, sf_dir).covariance().cells().select(F.col("i").cast("int").alias("i"), "j", r("x").alias("x"))
 
 
-@_both(f"SELECT CAST(a.j AS INTEGER) AS i, CAST(b.j AS INTEGER) AS j, round(covar_samp(a.x, b.x) + 0.0, 6) AS x FROM {_CELL} a JOIN {_CELL} b USING (i) GROUP BY a.j, b.j")
-def covariance_matrix(spark, sf_dir, rows):
-    return rows(spark, sf_dir).covariance().cells().select(F.col("i").cast("int").alias("i"), "j", r("x").alias("x"))
-
-
-@_both(f"SELECT a.i, CAST(b.j AS INTEGER) AS j, round(sum(a.x * (a.j + 1) * (b.j + 2) / 10.0) + 0.0, 5) AS x FROM {_CELL} a, (SELECT unnest(range(3)) AS j) b GROUP BY a.i, b.j")
-def matmul(spark, sf_dir, rows):
-    a = rows(spark, sf_dir)
+@_query(f"SELECT a.i, CAST(b.j AS INTEGER) AS j, round(sum(a.x * (a.j + 1) * (b.j + 2) / 10.0) + 0.0, 5) AS x FROM {_CELL} a, (SELECT unnest(range(3)) AS j) b GROUP BY a.i, b.j")
+def matmul(spark, sf_dir):
+    a = _matrix(spark, sf_dir)
     w = matrix.Array([[(i + 1) * (j + 2) / 10 for j in range(3)] for i in range(a.ncols)])
     return (a @ w).cells().select("i", "j", r("x", 5).alias("x"))
 
 
-@_both(f"SELECT CAST(j AS BIGINT) AS j, round(sum(x) + 0.0, 4) AS total, round(avg(x) + 0.0, 6) AS mean, round(var_samp(x), 6) AS var, round(stddev_samp(x) + 1e-8, 6) AS sd FROM {_CELL} GROUP BY j")
-def column_statistics(spark, sf_dir, rows):
+@_query(f"SELECT CAST(j AS BIGINT) AS j, round(sum(x) + 0.0, 4) AS total, round(avg(x) + 0.0, 6) AS mean, round(var_samp(x), 6) AS var, round(stddev_samp(x) + 1e-8, 6) AS sd FROM {_CELL} GROUP BY j")
+def column_statistics(spark, sf_dir):
     x = F.col("x")
-    return rows(spark, sf_dir).cells().groupBy(F.col("j").cast("long").alias("j")).agg(r(F.sum(x), 4).alias("total"), r(F.avg(x)).alias("mean"), r(F.var_samp(x)).alias("var"), r(F.stddev_samp(x) + 1e-8).alias("sd"))
-
-
-@_both(f"SELECT i AS idx, round(avg(x) + 0.0, 6) AS x FROM {_CELL} GROUP BY i")
-def row_means(spark, sf_dir, rows):
-    return rows(spark, sf_dir).mean_axis1().df.select("idx", r("x").alias("x"))
+    return _matrix(spark, sf_dir).cells().groupBy(F.col("j").cast("long").alias("j")).agg(r(F.sum(x), 4).alias("total"), r(F.avg(x)).alias("mean"), r(F.var_samp(x)).alias("var"), r(F.stddev_samp(x) + 1e-8).alias("sd"))
 
 
-@_query(f"SELECT CAST(j AS BIGINT) AS i, CAST(i AS INTEGER) AS j, round(x + 0.0, 6) AS x FROM {_CELL} WHERE i < 50")
-def transpose(spark, sf_dir):
-    """The first fifty rows, as fifty columns."""
-    return _eight(spark, sf_dir).slice_rows(0, 50).transpose().cells().select(F.col("i").cast("long").alias("i"), F.col("j").cast("int").alias("j"), r("x").alias("x"))
+@_query(f"SELECT i AS idx, round(avg(x) + 0.0, 6) AS x FROM {_CELL} GROUP BY i")
+def row_means(spark, sf_dir):
+    return _matrix(spark, sf_dir).mean_axis1().df.select("idx", r("x").alias("x"))
 
 
 @_query("SELECT CAST(j AS BIGINT) AS i, i AS j, round(x + 0.0, 6) AS x FROM (SELECT vec_id AS i, unnest(range(len(embedding))) AS j, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings)")
-def transpose_whole(spark, sf_dir):
+def transpose(spark, sf_dir):
     """Every row and component, in cells: no row of the result, as long as the table, is gathered."""
     cells = _vectors(spark, sf_dir).select("id", F.posexplode("v").alias("j", "x"))
     return cells.select(F.col("j").cast("long").alias("i"), F.col("id").alias("j"), r("x").alias("x"))
 
 
-@_both(f"SELECT i, CAST(j AS INTEGER) AS j, round(2 * x + (j + 1) + 0.0, 6) AS x FROM {_CELL}")
-def broadcast_add(spark, sf_dir, rows):
-    a = rows(spark, sf_dir)
+@_query(f"SELECT i, CAST(j AS INTEGER) AS j, round(2 * x + (j + 1) + 0.0, 6) AS x FROM {_CELL}")
+def broadcast_add(spark, sf_dir):
+    a = _matrix(spark, sf_dir)
     row = matrix.Array([[float(j + 1) for j in range(a.ncols)]])
     return (a * 2 + row).cells().select("i", "j", r("x").alias("x"))
 
@@ -403,9 +362,9 @@ def activations(spark, sf_dir):
 _ROWS = f"(SELECT *, max(x) OVER (PARTITION BY i) AS top, avg(x) OVER (PARTITION BY i) AS mu, var_pop(x) OVER (PARTITION BY i) AS v FROM {_CELL})"
 
 
-@_both(f"SELECT i, CAST(j AS INTEGER) AS j, round(exp(x - top) / sum(exp(x - top)) OVER (PARTITION BY i), 6) AS soft, round(x - top - ln(sum(exp(x - top)) OVER (PARTITION BY i)), 6) AS log_soft, round((x - mu) / sqrt(v + 1e-5) + 0.0, 6) AS norm FROM {_ROWS}")
-def row_normalisations(spark, sf_dir, rows):
-    d = rows(spark, sf_dir).df
+@_query(f"SELECT i, CAST(j AS INTEGER) AS j, round(exp(x - top) / sum(exp(x - top)) OVER (PARTITION BY i), 6) AS soft, round(x - top - ln(sum(exp(x - top)) OVER (PARTITION BY i)), 6) AS log_soft, round((x - mu) / sqrt(v + 1e-5) + 0.0, 6) AS norm FROM {_ROWS}")
+def row_normalisations(spark, sf_dir):
+    d = _matrix(spark, sf_dir).df
     z = F.arrays_zip(nn.row_softmax("v").alias("s"), nn.row_log_softmax("v").alias("l"), nn.row_layer_norm("v").alias("n"))
     return d.select(F.col("row_id").alias("i"), F.posexplode(z).alias("j", "z")).select("i", "j", r("z.s").alias("soft"), r("z.l").alias("log_soft"), r("z.n").alias("norm"))
 
@@ -417,31 +376,26 @@ def losses(spark, sf_dir):
     return _t(spark, sf_dir, "lineitem").agg(r(F.avg(nn.LOSSES["mse"](p, t))).alias("mse"), r(F.avg(nn.LOSSES["mae"](p, t))).alias("mae"), r(F.avg(nn.huber(p, t, 0.03)), 8).alias("huber"), r(F.avg(nn.bce(p * 5, y))).alias("bce"))
 
 
-@_both(f"SELECT CAST(i // 2 AS BIGINT) AS i, CAST(j // 2 AS INTEGER) AS j, round(max(x) + 0.0, 6) AS most, round(avg(x) + 0.0, 6) AS mean FROM {_CELL} GROUP BY i // 2, j // 2")
-def pooling(spark, sf_dir, rows):
-    a = rows(spark, sf_dir)
+@_query(f"SELECT CAST(i // 2 AS BIGINT) AS i, CAST(j // 2 AS INTEGER) AS j, round(max(x) + 0.0, 6) AS most, round(avg(x) + 0.0, 6) AS mean FROM {_CELL} GROUP BY i // 2, j // 2")
+def pooling(spark, sf_dir):
+    a = _matrix(spark, sf_dir)
     both = a.max_pool2d(2).cells().withColumnRenamed("x", "most").join(a.avg_pool2d(2).cells().withColumnRenamed("x", "mean"), ["i", "j"])
     return both.select("i", F.col("j").cast("int").alias("j"), r("most").alias("most"), r("mean").alias("mean"))
 
 
-@_query("WITH s AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS t, value AS x FROM events ORDER BY event_id LIMIT 64) SELECT CAST(k AS INTEGER) AS k, round(sqrt(pow(sum(x * cos(2 * pi() * ((t * k) % 64) / 64)), 2) + pow(sum(x * sin(2 * pi() * ((t * k) % 64) / 64)), 2)), 4) AS mag FROM s, (SELECT unnest(range(64)) AS k) GROUP BY k")
-def dft_magnitudes(spark, sf_dir):
-    """The spectrum of a series of 64 samples."""
-    return signal.magnitudes(signal.dft(_events(spark, sf_dir).filter("idx < 64"), 64)).select("k", r("mag", 4).alias("mag"))
-
-
 @_query()
 def spectrum(spark, sf_dir):
     """The spectrum of the whole events series; a transform in SQL would take the square of its length."""
     e = _events(spark, sf_dir)
-    return signal.magnitudes(signal.long_fft(e.select("idx", F.col("x").alias("re"), F.lit(0.0).alias("im")), e.count())).select(F.col("idx").alias("k"), "mag", "phase")
+    return signal.long_fft(e.select("idx", F.col("x").alias("re"), F.lit(0.0).alias("im")), e.count()).select(F.col("idx").alias("k"), r("re", 3).alias("re"), r("im", 3).alias("im"))
 
 
-@_query()
+@_query("""WITH s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS t, count(*) OVER (PARTITION BY user_id) AS n, value AS x FROM events)
+SELECT user_id AS series, b.t AS k, round(sqrt(pow(sum(a.x * cos(2 * pi() * ((a.t * b.t) % a.n) / a.n)), 2) + pow(sum(a.x * sin(2 * pi() * ((a.t * b.t) % a.n) / a.n)), 2)), 4) AS mag FROM s a JOIN s b USING (user_id) GROUP BY user_id, b.t""")
 def fft_by_user(spark, sf_dir):
     """The spectrum of every user's series."""
     e = _t(spark, sf_dir, "events")
-    return signal.magnitudes(signal.fft(e.select("user_id", "event_id", "value"), "user_id", "value", "event_id")).select("series", "k", "mag")
+    return signal.magnitudes(signal.fft(e.select("user_id", "event_id", "value"), "user_id", "value", "event_id")).select("series", "k", r("mag", 4).alias("mag"))
 
 
 def _conv(keep: str, shift: int) -> str:
@@ -484,10 +438,14 @@ def point_in_polygon(spark, sf_dir):
     return _t(spark, sf_dir, "customer").select("c_custkey", geometry.in_polygon(F.col("c_acctbal"), F.col("c_nationkey").cast("double"), *_POLY).alias("inside"))
 
 
-@_query()
+_CROSS = "(({1}.x - {0}.x) * ({2}.y - {0}.y) - ({1}.y - {0}.y) * ({2}.x - {0}.x))"
+
+
+@_query(f"""WITH p AS (SELECT min(c_acctbal) AS x, CAST(c_nationkey AS DOUBLE) AS y FROM customer GROUP BY c_nationkey UNION SELECT max(c_acctbal), CAST(c_nationkey AS DOUBLE) FROM customer GROUP BY c_nationkey)
+SELECT x, y FROM p WHERE EXISTS (SELECT 1 FROM p q WHERE (q.x, q.y) <> (p.x, p.y) AND NOT EXISTS (SELECT 1 FROM p o WHERE {_CROSS.format("p", "q", "o")} < 0 OR ({_CROSS.format("p", "q", "o")} = 0 AND (o.x - p.x) * (q.x - p.x) + (o.y - p.y) * (q.y - p.y) < 0)))""")
 def convex_hull(spark, sf_dir):
-    c = _t(spark, sf_dir, "customer")
-    return spark.createDataFrame(geometry.convex_hull(c, "c_acctbal", "c_nationkey"), "x double, y double")
+    """Only the least and greatest balance of a nation can be corners, which is how SQL can check the hull of all points."""
+    return spark.createDataFrame(geometry.convex_hull(_t(spark, sf_dir, "customer"), "c_acctbal", "c_nationkey"), "x double, y double")
 
 
 @_query("SELECT p_partkey, round(-p_size * 1.0, 6) AS x, round(p_retailprice, 6) AS y, round(p_size * 2.0, 6) AS z, round(p_size * 1.0 * 3 - p_size * 2 * 2, 6) AS cross_x FROM part")

@@ -12,8 +12,8 @@ from tessera.operators.complexvector import ComplexVector
 from tessera.operators.matrix import Array
 from tessera.operators.store import shared_dir
 from tessera.operators.vector import Vector
+from tessera.plans.registry import integral, r
 from tessera.plans.registry import query as _query
-from tessera.plans.registry import r
 from tessera.plans.registry import table as _t
 from tessera.plans.wrappers import _columns, _marks, _per_nation, _sql_marks, _sql_per_nation, _sql_values, _values
 from tessera.sources.files import LazyArray, MmapArray
@@ -199,19 +199,14 @@ def tensor_methods(spark, sf_dir):
 # Distributions, special functions, signals, geometry -------------------------------------------------------------------
 
 
-def _integral(f: str, lo: str, hi: str, n: int = 400) -> str:
-    """Simpson's rule in SQL; f is an expression of t."""
-    return f"(SELECT sum(CASE WHEN g IN (0, {n}) THEN 1 WHEN g % 2 = 1 THEN 4 ELSE 2 END * ({f.replace('$t', f'(({lo}) + (({hi}) - ({lo})) * g / {n}.0)')})) * (({hi}) - ({lo})) / {3 * n} FROM range({n + 1}) u(g))"
-
-
 _T = "exp(lgamma(3.0) - lgamma(2.5)) / sqrt(5 * pi()) / 2 * pow(1 + pow(($t - 1) / 2, 2) / 5, -3)"
-_NORMAL_CDF = f"0.5 + {_integral('exp(-0.5 * pow(($t - 1) / 2, 2)) / (2 * sqrt(2 * pi()))', '1', 'x')}"
-_T_CDF = f"0.5 + {_integral(_T, '1', 'x')}"
+_NORMAL_CDF = f"0.5 + {integral('exp(-0.5 * pow(($t - 1) / 2, 2)) / (2 * sqrt(2 * pi()))', '1', 'x')}"
+_T_CDF = f"0.5 + {integral(_T, '1', 'x')}"
 _LAWS = {
     "Normal.mean": (lambda x, y: Normal(1, 2).mean(), "1"), "Normal.pdf": (lambda x, y: Normal(1, 2).pdf(x), "exp(-0.5 * pow((x - 1) / 2, 2)) / (2 * sqrt(2 * pi()))"), "Normal.cdf": (lambda x, y: Normal(1, 2).cdf(x), _NORMAL_CDF), "Normal.ppf": (lambda x, y: Normal(1, 2).ppf(Normal(1, 2).cdf(x)), "x"), "Normal.new": (lambda x, y: Normal(x, y).sigma, "y"),
     "StudentT.pdf": (lambda x, y: StudentT(1, 2, 5).pdf(x), _T.replace("$t", "x")), "StudentT.cdf": (lambda x, y: StudentT(1, 2, 5).cdf(x), _T_CDF), "StudentT.ppf": (lambda x, y: StudentT(1, 2, 5).ppf(StudentT(1, 2, 5).cdf(x)), "x"), "StudentT.new": (lambda x, y: StudentT(x, y, 3).scale, "y"),
     "Poisson.cdf": (lambda x, y: Poisson(3).cdf(y), "(SELECT sum(exp(g * ln(3) - 3 - lgamma(g + 1.0))) FROM range(6) u(g) WHERE g <= y)"), "Poisson.pmf": (lambda x, y: Poisson(3).pmf(y), "exp(y * ln(3) - 3 - lgamma(y + 1))"), "Poisson.new": (lambda x, y: Poisson(y).rate, "y"), "Exponential.ppf": (lambda x, y: Exponential(y).ppf(0.3), "-ln(0.7) / y"), "Exponential.cdf": (lambda x, y: Exponential(y).cdf(x), "1 - exp(-x * y)"), "Exponential.new": (lambda x, y: Exponential(y).rate, "y"),
-    "erf": (lambda x, y: special.erf(x / 2), f"2 / sqrt(pi()) * {_integral('exp(-$t * $t)', '0', 'x / 2')}"), "gamma": (lambda x, y: special.gamma(y), "gamma(y)"), "ln_gamma": (lambda x, y: special.ln_gamma(x + 0.5), "lgamma(x + 0.5)"),
+    "erf": (lambda x, y: special.erf(x / 2), f"2 / sqrt(pi()) * {integral('exp(-$t * $t)', '0', 'x / 2')}"), "gamma": (lambda x, y: special.gamma(y), "gamma(y)"), "ln_gamma": (lambda x, y: special.ln_gamma(x + 0.5), "lgamma(x + 0.5)"),
 }
 
 
