@@ -11,7 +11,7 @@ from tessera.operators.store import stored as cut  # noqa: F401
 
 #: A word, in every operator of this package.
 WORD = r"[^\x20\x09-\x0D]+"
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def release(spark: SparkSession) -> None:
@@ -115,7 +115,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("p", ())) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         for name, base in (("p", _P), ("i", pow(_P, -1, 1 << 64))):
             steps = np.full(size, base & _MASK, np.uint64)
             steps[0] = 1
@@ -133,7 +133,7 @@ def column_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def hashed_words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, piece: int = 1 << 20):
+def hashed_words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, piece: int = 1 << 18):
     """For each text: (hashes of its words as uint64, starts, ends as byte positions in data).
 
     Works through the bytes in pieces of about `piece` bytes that end between texts, or between words inside a long
