@@ -76,14 +76,18 @@ def _need(n) -> F.Column:
 
 
 def _may_match(x, y) -> F.Column:
-    """Length, positional and parity filters; x and y give the columns n, i (place of the common word), bm, q1, q2, q3."""
-    n, i, m, j = x("n"), x("i"), y("n"), y("i")
-    overlap = F.floor((4 * (n + m) + 8) / 9)
+    """Length, positional and parity filters; x and y give the columns n, i (place of the common word), bm, q1, q2, q3.
+
+    In whole numbers: an overlap of ceil(4 (n + m) / 9) fits behind the places if 9 times the shorter rest is 4 (n + m) or
+    more, which implies the length filter; as parities differ in n + m bits less an even number, it leaves room for them if
+    9 times their difference is n + m or less.
+    """
+    n, m = x("n"), y("n")
     apart = [F.bit_count(x(c).bitwiseXOR(y(c))) for c in ("bm", "q1", "q2", "q3")]
     rest = lambda z: z("bm").bitwiseXOR(z("q1")).bitwiseXOR(z("q2")).bitwiseXOR(z("q3"))
     quarters = apart[1] + apart[2] + apart[3] + F.bit_count(rest(x).bitwiseXOR(rest(y)))
-    near = F.when((n >= LONG) & (m >= LONG), quarters).otherwise(apart[0]) <= n + m - 2 * overlap
-    return (5 * m >= 4 * n) & (5 * n >= 4 * m) & (F.least(n - i, m - j) >= overlap) & near
+    near = (9 * apart[0] <= n + m) & ((n < LONG) | (m < LONG) | (9 * quarters <= n + m))
+    return (9 * F.least(n - x("i"), m - y("i")) >= 4 * (n + m)) & near
 
 
 def _marked(sets: DataFrame, gone: DataFrame) -> DataFrame:
@@ -94,10 +98,6 @@ def _marked(sets: DataFrame, gone: DataFrame) -> DataFrame:
     return some.drop("k").unionByName(keyed.filter(~may).withColumn("g", F.lit(False)).drop("k"))
 
 
-def _flat(sets: DataFrame, p: str, words) -> DataFrame:
-    return sets.select(F.col("_id").alias(f"{p}id"), F.col("no").alias(f"{p}no"), F.col("n").alias(f"{p}n"), *[F.col(c).alias(f"{p}{c}") for c in MAPS], F.col("g").alias(f"{p}g"), F.posexplode(words).alias(f"{p}i", "tok"))
-
-
 def _postings(firsts: DataFrame, name: str, most: int) -> DataFrame:
     """(tok, <name>): one row for each of the `most` middle prefix words of a set, with a struct (_id, no, n, i, bm).
 
@@ -151,19 +151,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     by = Window.partitionBy("tok").orderBy("b")
     leaders = F.array(F.first("b").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)), *[F.lag("b", k).over(by) for k in range(1, BEFORE + 1)])
     star = _postings(crowd, "b", MIDDLE).withColumn("a", leaders).select("b", F.explode(F.array_distinct("a")).alias("a")).filter("a is not null")
-    star = star.filter((F.struct("a._id", "a.no") < F.struct("b._id", "b.no")) & _may_match(lambda c: F.col(f"b.{c}"), lambda c: F.col(f"a.{c}")))
+    star = star.filter(_may_match(lambda c: F.col(f"b.{c}"), lambda c: F.col(f"a.{c}")) & (F.struct("a._id", "a.no") < F.struct("b._id", "b.no")))
     star = cut(_pairs(star), "line-star")
     gone = cut(_verified(star, plain, codes), "line-gone-1")
     release(docs.sparkSession)
-    # In a pair, the smaller set's first common word is among its first n / 9 + 1 words; only the larger set's whole prefix counts.
-    marked = _marked(crowd, gone)
-    small = _flat(marked, "x", F.slice("prefix", 1, F.floor(F.col("n") / 9).cast("int") + 1))
-    x, y = F.struct("xid", "xno"), F.struct("yid", "yno")
-    met = small.join(_flat(marked, "y", F.col("prefix")).hint("merge"), "tok")
-    live = F.when(x < y, ~F.col("yg")).otherwise((y < x) & ~F.col("xg"))
-    met = met.filter((F.col("xn") <= F.col("yn")) & live & _may_match(lambda c: F.col(f"x{c}"), lambda c: F.col(f"y{c}")))
-    pair = lambda p: F.struct(F.col(f"{p}id").alias("_id"), F.col(f"{p}no").alias("no"))
-    met = met.select(F.when(x < y, pair("x")).otherwise(pair("y")).alias("a"), F.when(x < y, pair("y")).otherwise(pair("x")).alias("b"))
+    # One shuffle of the prefix words serves both sides; the positional filter holds the smaller set to its first n / 9 + 1.
+    words = _marked(crowd, gone).select("_id", "no", "n", *MAPS, "g", F.posexplode("prefix").alias("i", "tok"))
+    met = words.alias("x").join(words.alias("y").hint("merge"), "tok")
+    x, y = F.struct("x._id", "x.no"), F.struct("y._id", "y.no")
+    # Of equal sizes the earlier set is x; the later set must still be there.
+    live = F.when(x < y, ~F.col("y.g")).otherwise((y < x) & (F.col("x.n") < F.col("y.n")) & ~F.col("x.g"))
+    met = met.filter((F.col("x.n") <= F.col("y.n")) & _may_match(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")) & live)
+    met = met.select(F.when(x < y, x).otherwise(y).alias("a"), F.when(x < y, y).otherwise(x).alias("b"))
     rest = cut(met.distinct().join(star, ["a", "b"], "left_anti"), "line-rest")
     release(docs.sparkSession)
     gone = gone.unionByName(_verified(rest, plain, codes)).distinct().withColumn("gone", F.lit(True))
