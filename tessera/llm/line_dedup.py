@@ -118,8 +118,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, codes) -> DataFrame:
     earlier set at a."""
     names = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
     wanted = cut(names.select(F.xxhash64("a._id", "a.no").alias("k")).distinct(), "line-wanted")
-    # A map of fixed size passes the wanted lines and few others, before any word is looked at.
-    passed = _lines(docs).withColumn("k", F.xxhash64("_id", "no")).filter(passing(wanted, "k"))
+    # A map of fixed size keeps out most other lines while the wanted are few, the join keeps out the rest at every size;
+    # only then are words looked at.
+    passed = _lines(docs).select("_id", "no", "line").withColumn("k", F.xxhash64("_id", "no")).filter(passing(wanted, "k")).join(wanted, "k", "left_semi")
     sets = cut(_identified(passed, codes).select(F.struct("_id", "no").alias("at"), "s1", "bm", "ids", "n"), "line-sets")
     side = lambda p: sets.select(F.col("at").alias(p), F.col("s1").alias(f"{p}s1"), F.col("bm").alias(f"{p}bm"), F.col("ids").alias(f"{p}ids"), F.col("n").alias(f"{p}n"), F.col("at").alias(f"{p}at"))
     both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
