@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import constant_array, cut, passing, release
 
-BUCKETS, MIDDLE, BEFORE, LONG = 1 << 16, 4, 3, 96
+BUCKETS, MIDDLE, BEFORE, LONG = 1 << 16, 4, 8, 96
 #: White space besides the space and the line feed.
 OTHER = "\t\x0b\x0c\r"
 LOW = (1 << 54) - 1
