@@ -8,7 +8,8 @@ A line goes if an earlier line has the same set or a similar one, so one earlier
 compares each set with the earliest set, and with the BEFORE sets just before it, on each of the MIDDLE words in the middle
 of its prefix; the second joins those that are left with all
 earlier sets.  A crowd of near copies thus costs about its size in pairs, and no match is lost.  A 64-bit map of word
-parities keeps out most pairs that share a word by chance: it differs in no more bits than the sets differ in words.
+parities, and a second one by other bits (of long sets: by quarters of the words), keep out most pairs that share a word
+by chance: they differ in no more bits than the sets differ in words.
 
 Rarity is looked up in a fixed number of counts by hash of the word (BUCKETS), over all words; words that share a count
 are ordered by hash, so the order is total and the same everywhere, and only a bounded table leaves the aggregation.
@@ -60,13 +61,13 @@ def _lines(docs: DataFrame) -> DataFrame:
 def _identified(lines: DataFrame, codes) -> DataFrame:
     """lines with ids, n, and the set's name: a hash s1 and the parities bm."""
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
-    parity = lambda ids: F.aggregate(ids, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
+    parity = lambda ids, skip=0: F.aggregate(ids, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(F.shiftright(x, skip) if skip else x)))
     part = lambda w: parity(F.filter("ids", lambda x: x.bitwiseAND(F.lit(192)) == 64 * w))
     marked = lines.withColumn("ids", _ids(F.col("line"), codes)).drop("line")
     marked = marked.withColumn("n", F.size("ids")).withColumn("s1", F.xxhash64("ids")).withColumn("bm", parity("ids"))
-    # A long set has many words for 64 parities: it has them by quarters of the words, too.
+    # A long set has many words for 64 parities: it has them by quarters of the words, too.  A short one has them by other bits.
     for w in (1, 2, 3):
-        marked = marked.withColumn(f"q{w}", F.when(F.col("n") >= LONG, part(w)).otherwise(F.lit(0).cast("long")))
+        marked = marked.withColumn(f"q{w}", F.when(F.col("n") >= LONG, part(w)).otherwise(parity("ids", 8) if w == 1 else F.lit(0).cast("long")))
     return marked
 
 
@@ -86,7 +87,8 @@ def _may_match(x, y) -> F.Column:
     apart = [F.bit_count(x(c).bitwiseXOR(y(c))) for c in ("bm", "q1", "q2", "q3")]
     rest = lambda z: z("bm").bitwiseXOR(z("q1")).bitwiseXOR(z("q2")).bitwiseXOR(z("q3"))
     quarters = apart[1] + apart[2] + apart[3] + F.bit_count(rest(x).bitwiseXOR(rest(y)))
-    near = (9 * apart[0] <= n + m) & ((n < LONG) | (m < LONG) | (9 * quarters <= n + m))
+    second = F.when((n < LONG) & (m < LONG), apart[1]).when((n >= LONG) & (m >= LONG), quarters).otherwise(0)
+    near = (9 * apart[0] <= n + m) & (9 * second <= n + m)
     return (9 * F.least(n - x("i"), m - y("i")) >= 4 * (n + m)) & near
 
 
