@@ -40,9 +40,10 @@ def read_csv(spark: SparkSession, path: str, header: bool = False, bad: float =
     """(matrix, column names).  Blank lines are skipped and what is no number becomes `bad`."""
     raw = spark.read.option("header", header).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
     cells = [F.coalesce(F.col(f"`{c}`").try_cast("double"), F.lit(float(bad))).alias(f"c{i}") for i, c in enumerate(raw.columns)]
-    # A text file's rows keep their order within a scan; ids grow along it.
-    rows = raw.select(*cells).withColumn("_m", F.monotonically_increasing_id())
-    return Array(ordered.with_index(rows, "_m", name="row_id").select("row_id", F.array(*[f"c{i}" for i in range(len(cells))]).alias("v"))), (raw.columns if header else [])
+    # Ids grow along a scan, but a scan takes parts by size: rows keep their order only within a block of a file.
+    at = raw.metadataColumn("_metadata")
+    rows = raw.select(*cells, at["file_path"].alias("_f"), at["file_block_start"].alias("_b")).withColumn("_m", F.monotonically_increasing_id())
+    return Array(ordered.with_index(rows, "_f", "_b", "_m", name="row_id").select("row_id", F.array(*[f"c{i}" for i in range(len(cells))]).alias("v"))), (raw.columns if header else [])
 
 
 def write_csv(a: Array, path: str, header=None) -> None:

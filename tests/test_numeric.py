@@ -171,3 +171,17 @@ def test_files(spark, tmp_path):
     assert names == ["a", "b", "c"] and np.allclose(back.to_numpy(), a)
     lazy = files.LazyArray.open_bin(spark, f"{tmp_path}/m.bin", 4, 3).mul(2).add(1)
     assert lazy.sum() == (2 * a + 1).sum() and np.allclose(lazy.load_rows(1, 3).to_numpy(), 2 * a[1:3] + 1) and len(list(lazy.chunks(3))) == 2
+
+
+def test_csv_parts_keep_their_order(spark, tmp_path):
+    """A scan takes the largest part first; the matrix must still have its rows in the order of parts and blocks."""
+    rows = [[float(k), -float(k)] for k in range(60)]
+    for k, (lo, hi) in enumerate([(0, 2), (2, 50), (50, 60)]):
+        (tmp_path / f"part-{k:05}.csv").write_text("".join(f"{a},{b}\n" for a, b in rows[lo:hi]))
+    assert files.read_csv(spark, str(tmp_path))[0].to_numpy().tolist() == rows
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        assert files.read_csv(spark, str(tmp_path))[0].to_numpy().tolist() == rows
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
