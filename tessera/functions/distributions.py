@@ -14,13 +14,18 @@ from tessera.functions.special import betainc
 
 def _on(f, x):
     """f of a float here, of a column in Arrow batches there."""
+    return _on_arrays(np.vectorize(f, otypes=[float]), x) if isinstance(x, Column) else f(x)
+
+
+def _on_arrays(f, x):
+    """As _on, for f of an array; a batch's equal values are worked out once."""
     if not isinstance(x, Column):
-        return f(x)
-    vector = np.vectorize(f, otypes=[float])
+        return float(f(np.array([x], float))[0])
 
     @F.pandas_udf("double")
     def apply(s: pd.Series) -> pd.Series:
-        return pd.Series(vector(s.to_numpy(float)) if len(s) else s.astype(float))
+        values, at = np.unique(s.to_numpy(float), return_inverse=True)
+        return pd.Series(f(values)[at] if len(s) else s.astype(float))
 
     return apply(x)
 
@@ -29,19 +34,25 @@ def _exp(x):
     return F.exp(x) if isinstance(x, Column) else math.exp(x)
 
 
-def _bisect(cdf, p: float, lo: float, hi: float) -> float:
-    if not 0 <= p <= 1:
+def _bisect(cdf, p: np.ndarray, lo: float, hi: float) -> np.ndarray:
+    if not ((p >= 0) & (p <= 1)).all():
         raise ValueError("p outside [0, 1]")
-    if p in (0, 1):
-        return -math.inf if p == 0 else math.inf
-    while cdf(lo) > p:
-        lo *= 2
-    while cdf(hi) < p:
-        hi *= 2
+    out, some = np.where(p == 0, -math.inf, math.inf), (p > 0) & (p < 1)
+    q = p[some]
+    lo, hi = np.full(len(q), float(lo)), np.full(len(q), float(hi))
+    while (far := cdf(lo) > q).any():
+        lo[far] *= 2
+    while (far := cdf(hi) < q).any():
+        hi[far] *= 2
     for _ in range(200):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if cdf(mid) < p else (lo, mid)
-    return (lo + hi) / 2
+        low = cdf(mid) < q
+        done = np.where(low, lo, hi) == mid
+        lo, hi = np.where(low, mid, lo), np.where(low, hi, mid)
+        if done.all():
+            break
+    out[some] = (lo + hi) / 2
+    return out
 
 
 class _Sampled:
@@ -99,16 +110,17 @@ class StudentT(_Sampled):
         base = 1 + z * z / v
         return c * (F.pow(base, F.lit(-(v + 1) / 2)) if isinstance(x, Column) else base ** (-(v + 1) / 2))
 
-    def _cdf(self, x: float) -> float:
+    def _cdf(self, x: np.ndarray) -> np.ndarray:
         z, v = (x - self.location) / self.scale, self.freedom
-        tail = 0.5 * betainc(v / 2, 0.5, v / (v + z * z))
-        return tail if z < 0 else 1 - tail
+        with np.errstate(over="ignore"):
+            tail = 0.5 * betainc(v / 2, 0.5, v / (v + z * z))
+        return np.where(z < 0, tail, 1 - tail)
 
     def cdf(self, x):
-        return _on(self._cdf, x)
+        return _on_arrays(self._cdf, x)
 
     def ppf(self, p):
-        return _on(lambda q: _bisect(self._cdf, q, -1 - abs(self.location), 1 + abs(self.location)), p)
+        return _on_arrays(lambda q: _bisect(self._cdf, q, -1 - abs(self.location), 1 + abs(self.location)), p)
 
 
 @dataclass(frozen=True)

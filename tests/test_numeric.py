@@ -1,6 +1,7 @@
 """Vectors, matrices, scalars, gradients and files against NumPy, math and hand-worked values."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -185,3 +186,16 @@ def test_csv_parts_keep_their_order(spark, tmp_path):
         assert files.read_csv(spark, str(tmp_path))[0].to_numpy().tolist() == rows
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_student_in_whole_arrays(spark):
+    """A column of a hundred thousand distinct shares is inverted in arrays, not value by value."""
+    student = distributions.StudentT(1, 2, 5)
+    df = spark.range(100_000).select(((F.col("id") + 0.5) / 100_000).alias("p"))
+    began = time.monotonic()
+    off = df.select(F.max(F.abs(student.cdf(student.ppf(F.col("p"))) - F.col("p"))).alias("x")).first().x
+    assert off < 1e-9 and time.monotonic() - began < 60
+    assert student.ppf(0.0) == -INF and student.ppf(1.0) == INF and abs(student.ppf(0.5) - 1) < 1e-6
+    assert abs(distributions.StudentT().cdf(1.0) - 0.75) < 1e-12 and distributions.StudentT().cdf(-INF) == 0
+    with pytest.raises(ValueError):
+        student.ppf(1.5)
