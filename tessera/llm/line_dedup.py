@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import constant_array, cut, passing, release
 
-BUCKETS, MIDDLE, BEFORE, LONG = 1 << 16, 4, 8, 96
+BUCKETS, MIDDLE, BEFORE, LONG, PARTS = 1 << 16, 4, 8, 96, 3
 #: White space besides the space and the line feed.
 OTHER = "\t\x0b\x0c\r"
 LOW = (1 << 54) - 1
@@ -50,7 +50,8 @@ def rarity(docs: DataFrame) -> F.Column:
 def _ids(line, codes) -> F.Column:
     """The sorted distinct words of a line as longs: 9 bits of rarity code, then 54 of hash."""
     hashes = F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
-    code = lambda h: F.get(codes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
+    # Spark sorts longs as such only where no null can be among them; other arrays are sorted as objects.
+    code = lambda h: F.coalesce(F.get(codes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0).cast("long"))
     return F.sort_array(F.transform(hashes, lambda h: code(h).bitwiseOR(h.bitwiseAND(F.lit(LOW)))))
 
 
@@ -111,6 +112,18 @@ def _postings(firsts: DataFrame, name: str, most: int) -> DataFrame:
     return rows.select("tok", F.struct("_id", "no", "n", (F.col("k") + F.col("off")).alias("i"), *MAPS).alias(name))
 
 
+def _met(marked: DataFrame, part: int) -> DataFrame:
+    """Pairs (a, b) of sets that share a prefix word of one part of the words and pass the filters; b must still be there."""
+    words = marked.select("_id", "no", "n", *MAPS, "g", F.posexplode("prefix").alias("i", "tok")).filter(F.pmod("tok", F.lit(PARTS)) == part)
+    # The positional filter holds the smaller set to its first n / 9 + 1 words.
+    met = words.filter("9 * i <= n").alias("x").join(words.alias("y").hint("merge"), "tok")
+    x, y = F.struct("x._id", "x.no"), F.struct("y._id", "y.no")
+    # Of equal sizes the earlier set is x; the later set must still be there.
+    live = F.when(x < y, ~F.col("y.g")).otherwise((y < x) & (F.col("x.n") < F.col("y.n")) & ~F.col("x.g"))
+    met = met.filter((F.col("x.n") <= F.col("y.n")) & _may_match(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")) & live)
+    return met.select(F.when(x < y, x).otherwise(y).alias("a"), F.when(x < y, y).otherwise(x).alias("b")).distinct()
+
+
 def _pairs(df: DataFrame) -> DataFrame:
     return df.select(F.struct("a._id", "a.no").alias("a"), F.struct("b._id", "b.no").alias("b")).distinct()
 
@@ -139,6 +152,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A null text has no lines and stays null; rows with equal id and text count as one document and lose the same lines;
     an empty table gives an empty result; columns of docs with the added names are replaced.
     """
+    # The codes are a megabyte in the text of a plan, which the driver would keep for every query and every change of its plan.
+    docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", 1 << 16)
     whole = docs.drop("n_lines", "removed_lines", "clean_text")
     plain = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).filter("_text is not null")
     codes = rarity(plain)
@@ -158,15 +173,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     star = cut(_pairs(star), "line-star")
     gone = cut(_verified(star, plain, codes), "line-gone-1")
     release(docs.sparkSession)
-    # One shuffle of the prefix words serves both sides; the positional filter holds the smaller set to its first n / 9 + 1.
-    words = _marked(crowd, gone).select("_id", "no", "n", *MAPS, "g", F.posexplode("prefix").alias("i", "tok"))
-    met = words.alias("x").join(words.alias("y").hint("merge"), "tok")
-    x, y = F.struct("x._id", "x.no"), F.struct("y._id", "y.no")
-    # Of equal sizes the earlier set is x; the later set must still be there.
-    live = F.when(x < y, ~F.col("y.g")).otherwise((y < x) & (F.col("x.n") < F.col("y.n")) & ~F.col("x.g"))
-    met = met.filter((F.col("x.n") <= F.col("y.n")) & _may_match(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")) & live)
-    met = met.select(F.when(x < y, x).otherwise(y).alias("a"), F.when(x < y, y).otherwise(x).alias("b"))
-    rest = cut(met.distinct().join(star, ["a", "b"], "left_anti"), "line-rest")
+    # Each part of the words is joined by itself: the shuffles of one part are gone before the next, so a part's size is all
+    # the disk that postings take.  A pair that meets in several parts is one row of `rest`.
+    marked, met = _marked(crowd, gone), []
+    for part in range(PARTS):
+        met.append(cut(_met(marked, part), "line-met"))
+        release(docs.sparkSession)
+    rest = cut(reduce(DataFrame.unionByName, met).distinct().join(star, ["a", "b"], "left_anti"), "line-rest")
     release(docs.sparkSession)
     gone = gone.unionByName(_verified(rest, plain, codes)).distinct().withColumn("gone", F.lit(True))
     verdict = firsts.select("s1", "bm", at.alias("least")).join(gone, ["s1", "bm"], "left")
