@@ -27,6 +27,8 @@ BUCKETS, MIDDLE, BEFORE, LONG, PARTS = 1 << 16, 4, 8, 96, 3
 OTHER = "\t\x0b\x0c\r"
 LOW = (1 << 54) - 1
 MAPS = ("bm", "q1", "q2", "q3")
+#: Hashes hardly repeat: a dictionary of them costs time and gives no room.
+PLAIN = {"parquet.enable.dictionary": "false"}
 
 
 def _spaced(text) -> F.Column:
@@ -35,24 +37,22 @@ def _spaced(text) -> F.Column:
     return F.when(some, F.translate(text, OTHER, " " * len(OTHER))).otherwise(text)
 
 
-def _words(spaced) -> F.Column:
-    """The words of a text in which all white space is spaces: a split at one character needs no regular expression."""
-    return F.array_remove(F.split(spaced, " "), "")
-
-
 def rarity(docs: DataFrame) -> F.Column:
     """The array of codes, by bucket, that order words from rare to common."""
-    counts = docs.select(F.explode(_words(F.replace(_spaced(F.col("_text")), F.lit("\n"), F.lit(" ")))).alias("w")).groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).agg((F.log2(F.count("*") + 1) * 8).cast("int").alias("code"))
+    # Empty pieces are counted as a word, too: any counts give a total order.
+    counts = docs.select(F.explode(F.split(F.replace(_spaced(F.col("_text")), F.lit("\n"), F.lit(" ")), " ")).alias("w")).groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).agg((F.log2(F.count("*") + 1) * 8).cast("int").alias("code"))
     found = {r.b: r.code for r in counts.collect()}  # BUCKETS rows at most
     return constant_array([found.get(b, 0) << 54 for b in range(BUCKETS)])
 
 
 def _ids(line, codes) -> F.Column:
     """The sorted distinct words of a line as longs: 9 bits of rarity code, then 54 of hash."""
-    hashes = F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
-    # Spark sorts longs as such only where no null can be among them; other arrays are sorted as objects.
+    # Spark sorts and compares longs as such only where no null can be among them, and only outside of transforms: there,
+    # every step of a word is an object, so what can be done to whole arrays is.
     code = lambda h: F.coalesce(F.get(codes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0).cast("long"))
-    return F.sort_array(F.transform(hashes, lambda h: code(h).bitwiseOR(h.bitwiseAND(F.lit(LOW)))))
+    ranked = lambda h: code(h).bitwiseOR(h.bitwiseAND(F.lit(LOW)))
+    pieces = F.array_distinct(F.transform(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)), ranked))
+    return F.sort_array(F.array_remove(pieces, ranked(F.xxhash64(F.lit("")))))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def _met(marked: DataFrame, part: int) -> DataFrame:
     """Pairs (a, b) of sets that share a prefix word of one part of the words and pass the filters; b must still be there."""
     words = marked.select("_id", "no", "n", *MAPS, "g", F.posexplode("prefix").alias("i", "tok")).filter(F.pmod("tok", F.lit(PARTS)) == part)
     # The positional filter holds the smaller set to its first n / 9 + 1 words.
-    met = words.filter("9 * i <= n").alias("x").join(words.alias("y").hint("merge"), "tok")
+    met = words.alias("y").hint("merge").join(words.filter("9 * i <= n").alias("x"), "tok")
     x, y = F.struct("x._id", "x.no"), F.struct("y._id", "y.no")
     # Of equal sizes the earlier set is x; the later set must still be there.
     live = F.when(x < y, ~F.col("y.g")).otherwise((y < x) & (F.col("x.n") < F.col("y.n")) & ~F.col("x.g"))
@@ -158,17 +158,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     plain = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).filter("_text is not null")
     codes = rarity(plain)
     prefix = F.transform(F.slice("ids", 1, F.when(F.col("n") < 4, F.lit(0)).otherwise(F.col("n") - _need(F.col("n")) + 1)), lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    # Lines without words are dropped behind the cut: a filter before it would split and hash every line twice.
-    lines = cut(_identified(_lines(plain), codes).select("_id", "no", "th", "n", "s1", *MAPS, prefix.alias("prefix")), "lines").filter("n > 0")
-    at = F.struct("_id", "no")
-    # The least struct is the earliest place; what follows it comes along.
-    least = lines.groupBy("s1", "bm").agg(F.min(F.struct("_id", "no", "n", "q1", "q2", "q3", "prefix")).alias("f"))
-    firsts = cut(least.select("s1", "bm", "f.*"), "line-firsts")
+    # Told by its text whether it has words: by its set, a line would be split and hashed twice.
+    worded = _lines(plain).filter(F.trim("line") != "")
+    # One shuffle brings the lines of each set together: the first row stands for the set, the places behind its place go.
+    by = Window.partitionBy("s1", "bm").orderBy("_id", "no")
+    lines = _identified(worded, codes).select("_id", "no", "th", "n", "s1", *MAPS, prefix.alias("prefix"))
+    lines = lines.withColumn("row", F.row_number().over(by)).withColumn("place", F.dense_rank().over(by))
+    lines = cut(lines.select("_id", "no", "th", "n", "s1", *MAPS, F.when(F.col("row") == 1, F.col("prefix")).alias("prefix"), (F.col("row") == 1).alias("top"), (F.col("place") > 1).alias("later")), "lines", **PLAIN)
+    firsts = lines.filter("top").select("s1", "bm", "_id", "no", "n", "q1", "q2", "q3", "prefix")
     release(docs.sparkSession)
     crowd = firsts.filter("n >= 4")
     by = Window.partitionBy("tok").orderBy("b")
-    leaders = F.array(F.first("b").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)), *[F.lag("b", k).over(by) for k in range(1, BEFORE + 1)])
-    star = _postings(crowd, "b", MIDDLE).withColumn("a", leaders).select("b", F.explode(F.array_distinct("a")).alias("a")).filter("a is not null")
+    # The earliest set is among the ones just before unless there are more of them.
+    far = F.when(F.lag(F.lit(1), BEFORE + 1).over(by).isNotNull(), F.first("b").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    leaders = F.array(far, *[F.lag("b", k).over(by) for k in range(1, BEFORE + 1)])
+    star = _postings(crowd, "b", MIDDLE).withColumn("a", leaders).select("b", F.explode("a").alias("a")).filter("a is not null")
     star = star.filter(_may_match(lambda c: F.col(f"b.{c}"), lambda c: F.col(f"a.{c}")) & (F.struct("a._id", "a.no") < F.struct("b._id", "b.no")))
     star = cut(_pairs(star), "line-star")
     gone = cut(_verified(star, plain, codes), "line-gone-1")
@@ -181,9 +185,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         release(docs.sparkSession)
     rest = cut(reduce(DataFrame.unionByName, met).distinct().join(star, ["a", "b"], "left_anti"), "line-rest")
     release(docs.sparkSession)
-    gone = gone.unionByName(_verified(rest, plain, codes)).distinct().withColumn("gone", F.lit(True))
-    verdict = firsts.select("s1", "bm", at.alias("least")).join(gone, ["s1", "bm"], "left")
-    removed = lines.select("_id", "no", "th", "s1", "bm").join(verdict, ["s1", "bm"]).filter((at != F.col("least")) | F.col("gone"))
+    gone = gone.unionByName(_verified(rest, plain, codes)).distinct()
+    places = lines.select("_id", "no", "th", "s1", "bm", "later")
+    removed = places.filter("later").unionByName(places.filter("not later").join(gone, ["s1", "bm"], "left_semi").select(places.columns))
     lost = removed.groupBy("_id", "th").agg(F.sort_array(F.collect_set("no")).alias("__lost")).withColumnsRenamed({"_id": "__lid", "th": "__lth"})
     keyed = whole.withColumn("__th", F.xxhash64(F.col(text_col).cast("string"))).withColumn("n_lines", F.coalesce(F.size(F.split(F.col(text_col).cast("string"), "\n", -1)), F.lit(0)).cast("long"))
     out = keyed.join(lost, F.col(id_col).eqNullSafe(F.col("__lid")) & (F.col("__th") == F.col("__lth")), "left").withColumn("removed_lines", F.coalesce("__lost", F.array().cast("array<int>")))

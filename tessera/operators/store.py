@@ -19,10 +19,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """df, written as Parquet and read back."""
+def stored(df: DataFrame, tag: str, **options: str) -> DataFrame:
+    """df, written as Parquet (with the writer's options) and read back."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
